@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quernstone.llm import license_scans as lic
 from quernstone.llm import quality_rules as q
+from quernstone.llm import url_filters as url
 
 SPACE = r"[^\x20\x09-\x0D]"
 
@@ -40,4 +42,46 @@ FROM m LEFT JOIN g0 ON m.l = g0.l AND m.s = g0.s LEFT JOIN g1 ON m.l = g1.l CROS
 """
 
 
-SQL: dict[str, str] = {"op4_quality_rules": _quality()}
+def _license() -> str:
+    kinds = lic.templates()
+    words = ", ".join(f"({t}, {j}, '{x}', {k['key'][0] <= j < k['key'][1]})" for t, k in enumerate(kinds) for j, x in enumerate(k["words"]))
+    heads = ", ".join(f"({t}, '{k['label']}', {len(k['words'])}, {len(k['words']) - k['wrong']}, {k['key'][1] - k['key'][0]}, {k['base']})" for t, k in enumerate(kinds))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k(t, j, x, must) AS (VALUES {words}), h(t, label, size, need, keys, base) AS (VALUES {heads}),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+c AS (SELECT doc_id, t, i - j AS pos, count(*) AS same, count(*) FILTER (must) AS must FROM p JOIN k USING (x) GROUP BY ALL),
+f AS (SELECT doc_id, label, base, pos, same / size AS score FROM c JOIN h USING (t) WHERE same >= need AND must = keys),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(score) AS score FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def _url() -> str:
+    fits = [(h + p, v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(url.RULES, key=lambda r: -len(r[1] + r[2]))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {x[2]} THEN '{x[k]}'" for x in fits) + " END"
+
+    def rank(name: str, a: str, b: str, verdict: str) -> str:
+        out = f"{name}s AS (SELECT host, n / sum(n) OVER () AS mass FROM (SELECT host, count(*) AS n FROM p WHERE own = '{verdict}' GROUP BY host)),\n"
+        out += f"{name}e AS (SELECT {a} AS a, {b} AS b, links / sum(links) OVER (PARTITION BY {a}) AS share FROM e),\n{name}0 AS (SELECT * FROM {name}s),\n"
+        for k in range(1, url.ROUNDS + 1):
+            out += f"{name}{k} AS (SELECT host, sum(mass) AS mass FROM (SELECT host, {1 - url.DAMPING} * mass AS mass FROM {name}s UNION ALL SELECT b, {url.DAMPING} * share * mass FROM {name}e JOIN {name}{k - 1} ON a = host) GROUP BY host),\n"
+        return out
+
+    last = url.ROUNDS
+    return f"""
+WITH l AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+p AS (SELECT *, {case(0)} AS rule, {case(1)} AS own FROM l),
+e AS (SELECT a, b, count(*) AS links FROM (SELECT host AS a, translate(unnest(regexp_extract_all(coalesce(html, ''), '{url.LINK.replace("'", "''")}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM l WHERE host <> '') WHERE a <> b GROUP BY ALL),
+{rank("t", "a", "b", "allow")}{rank("x", "b", "a", "block")}
+v AS (SELECT p.*, round(coalesce(t{last}.mass, 0), 12) AS trust, round(coalesce(x{last}.mass, 0), 12) AS distrust FROM p LEFT JOIN t{last} ON p.host = t{last}.host LEFT JOIN x{last} ON p.host = x{last}.host)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust > {url.THRESHOLD} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM v
+"""
+
+
+SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op10_url_filters": _url()}

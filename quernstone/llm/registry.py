@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import oracle, quality_rules
+from quernstone.llm import license_scans, oracle, quality_rules, url_filters
 from quernstone.sources.tables import table
 
 
+def op1_license_scans(spark: SparkSession, base: str) -> DataFrame:
+    return license_scans.scan(table(spark, base, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, base, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
+    return url_filters.judge(table(spark, base, "pages"))
+
+
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules}
+    found = [op1_license_scans, op4_quality_rules, op10_url_filters]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
