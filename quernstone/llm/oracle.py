@@ -84,4 +84,16 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust > {url.THRESH
 """
 
 
-SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op10_url_filters": _url()}
+CHAT = """
+WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM t),
+c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, x := text) ORDER BY place) AS turns FROM p GROUP BY conv_id),
+pre AS (SELECT DISTINCT k, turns[1:k] AS start FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id, n, turns FROM c GROUP BY n, turns),
+m AS (SELECT kept.* FROM kept LEFT JOIN pre ON n = k AND turns = start WHERE k IS NULL),
+o AS (SELECT conv_id, n, array_to_string(list_transform(turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.x || '<|end|>' || chr(10)), '') AS chat FROM m)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(length(chat) AS BIGINT) AS n_chars, chat FROM o
+"""
+
+
+SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op6_chat_formatting": CHAT, "op10_url_filters": _url()}
