@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import chat_formatting, license_scans, oracle, quality_rules, url_filters
+from quernstone.llm import chat_formatting, license_scans, near_dup, oracle, quality_rules, url_filters
 from quernstone.sources.tables import table
 
 
@@ -20,12 +20,16 @@ def op6_chat_formatting(spark: SparkSession, base: str) -> DataFrame:
     return chat_formatting.render(table(spark, base, "conversations"))
 
 
+def op9_minhash_near_dup(spark: SparkSession, base: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, base, "documents"), words=4)
+
+
 def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
     return url_filters.judge(table(spark, base, "pages"))
 
 
 def queries() -> dict:
-    found = [op1_license_scans, op4_quality_rules, op6_chat_formatting, op10_url_filters]
+    found = [op1_license_scans, op4_quality_rules, op6_chat_formatting, op9_minhash_near_dup, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
