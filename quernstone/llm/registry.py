@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import chat_formatting, license_scans, near_dup, oracle, quality_rules, url_filters
+from quernstone.llm import bpe, chat_formatting, license_scans, near_dup, oracle, quality_rules, toxicity, url_filters
 from quernstone.sources.tables import table
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_license_scans(spark: SparkSession, base: str) -> DataFrame:
     return license_scans.scan(table(spark, base, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    return toxicity.score(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, base, "documents"))
 
@@ -20,6 +31,10 @@ def op6_chat_formatting(spark: SparkSession, base: str) -> DataFrame:
     return chat_formatting.render(table(spark, base, "conversations"))
 
 
+def op8_bpe(spark: SparkSession, base: str) -> DataFrame:
+    return bpe.encode(table(spark, base, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, base: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, base, "documents"), words=4)
 
@@ -29,7 +44,7 @@ def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_license_scans, op4_quality_rules, op6_chat_formatting, op9_minhash_near_dup, op10_url_filters]
+    found = [op1_license_scans, op2_toxicity, op4_quality_rules, op6_chat_formatting, op8_bpe, op9_minhash_near_dup, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
