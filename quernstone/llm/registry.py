@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, chat_formatting, license_scans, near_dup, oracle, quality_rules, toxicity, url_filters
+from quernstone.llm import bpe, chat_formatting, decontamination, license_scans, near_dup, oracle, quality_rules, token_counts, toxicity, url_filters
 from quernstone.sources.tables import table
 
 
@@ -23,10 +23,18 @@ def op2_toxicity(spark: SparkSession, base: str) -> DataFrame:
     return toxicity.score(table(spark, base, "documents"), table(spark, base, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    return token_counts.count(table(spark, base, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op4_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, base, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    return decontamination.matches(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
 def op6_chat_formatting(spark: SparkSession, base: str) -> DataFrame:
     return chat_formatting.render(table(spark, base, "conversations"))
 
@@ -44,7 +52,7 @@ def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_license_scans, op2_toxicity, op4_quality_rules, op6_chat_formatting, op8_bpe, op9_minhash_near_dup, op10_url_filters]
+    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op8_bpe, op9_minhash_near_dup, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
