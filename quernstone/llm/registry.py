@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, chat_formatting, decontamination, license_scans, near_dup, oracle, quality_rules, token_counts, toxicity, url_filters
 from quernstone.sources.tables import table
@@ -39,6 +40,11 @@ def op6_chat_formatting(spark: SparkSession, base: str) -> DataFrame:
     return chat_formatting.render(table(spark, base, "conversations"))
 
 
+def op7_secret_scans(spark: SparkSession, base: str) -> DataFrame:
+    found = secret_scans.scan(table(spark, base, "documents"))
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 def op8_bpe(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode(table(spark, base, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -52,7 +58,7 @@ def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op8_bpe, op9_minhash_near_dup, op10_url_filters]
+    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op7_secret_scans, op8_bpe, op9_minhash_near_dup, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
