@@ -1,37 +1,25 @@
-"""Registered queries over the given tables, with DuckDB SQL for each."""
+"""All registered queries over the given tables, with DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quernstone.sources.tables import table
+FAMILIES = ["contest", "bands"]
 
 
-def contest_share_rank(spark: SparkSession, base: str) -> DataFrame:
-    votes = table(spark, base, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("party")).agg(F.sum("l_quantity").alias("votes"))
-    w = Window.partitionBy("l_orderkey")
-    return votes.select(
-        "l_orderkey",
-        F.col("party").cast("long").alias("party"),
-        F.col("votes").cast("double").alias("votes"),
-        F.round(100 * F.col("votes") / F.sum("votes").over(w), 6).alias("share"),
-        F.rank().over(w.orderBy(F.desc("votes"))).cast("long").alias("rank"),
-    )
+def _all() -> dict[str, tuple]:
+    out: dict[str, tuple] = {}
+    for family in FAMILIES:
+        out.update(import_module(f"quernstone.plans.{family}_queries").QUERIES)
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"contest_share_rank": contest_share_rank}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "contest_share_rank": """
-SELECT l_orderkey, CAST(party AS BIGINT) AS party, CAST(votes AS DOUBLE) AS votes,
-  round(100 * votes / sum(votes) OVER (PARTITION BY l_orderkey), 6) AS share,
-  rank() OVER (PARTITION BY l_orderkey ORDER BY votes DESC) AS rank
-FROM (SELECT l_orderkey, l_suppkey % 7 AS party, sum(l_quantity) AS votes FROM lineitem GROUP BY ALL)"""
-    }
+    return {name: sql for name, (_, sql) in _all().items() if sql}
