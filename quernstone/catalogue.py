@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["contest", "bands"]
+FAMILIES = ["contest", "bands", "history"]
 
 
 def _all() -> dict[str, tuple]:
