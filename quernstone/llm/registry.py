@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, chat_formatting, decontamination, license_scans, near_dup, oracle, quality_rules, token_counts, toxicity, url_filters
+from quernstone.llm import bpe, chat_formatting, decontamination, license_scans, near_dup, oracle, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from quernstone.sources.tables import table
 
 
