@@ -18,7 +18,7 @@ def error_suite(df: DataFrame, predicted: str, observed: str, grains: dict[str,
         F.count(F.lit(1)).alias("n"),
         r(F.avg(F.abs("__e")), "mae"),
         r(F.sqrt(F.avg(F.col("__e") * F.col("__e"))), "rmse"),
-        r(F.avg("__e"), "bias"),
+        (F.round(F.avg("__e"), places) + 0.0).alias("bias"),  # no negative zero
         r(F.median(F.abs("__e")), "median_ae"),
         r(F.avg(F.abs("__e")) / F.nullif(F.avg(observed), F.lit(0.0)), "relative_mae"),
     )
@@ -67,8 +67,9 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, places: int = 6) ->
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, out: str = "r", places: int = 6) -> DataFrame:
-    ok = (F.count(F.lit(1)) >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(ok, F.round(F.corr(x, y), places)).alias(out))
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    r = F.when(F.count(F.lit(1)) >= 3, F.round(F.try_divide(F.covar_pop(x, y), spread), places))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r.alias(out))
 
 
 def variance_split(df: DataFrame, group: str, value: str, places: int = 4) -> DataFrame:

@@ -281,7 +281,7 @@ def sign_flips(spark, base):
 
 QUERIES = {
     "mae_suite_grouping_sets": (mae_suite_grouping_sets, f"""WITH {PRED_SQL}, e AS (SELECT *, predicted - observed AS e FROM t)
-SELECT CASE grouping_id(size, election, party) WHEN 7 THEN 'all' WHEN 3 THEN 'size' WHEN 5 THEN 'election' ELSE 'party' END AS grain, size, election, party, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias, round(median(abs(e)), 6) AS median_ae, round(avg(abs(e)) / avg(observed), 6) AS relative_mae FROM e GROUP BY GROUPING SETS ((), (size), (election), (party))"""),
+SELECT CASE grouping_id(size, election, party) WHEN 7 THEN 'all' WHEN 3 THEN 'size' WHEN 5 THEN 'election' ELSE 'party' END AS grain, size, election, party, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) + 0.0 AS bias, round(median(abs(e)), 6) AS median_ae, round(avg(abs(e)) / avg(observed), 6) AS relative_mae FROM e GROUP BY GROUPING SETS ((), (size), (election), (party))"""),
     "equal_split_reference": (equal_split_reference, f"WITH {PRED_SQL} SELECT election, round(avg(abs(100 / size - observed)), 6) AS reference_mae, round(avg(abs(predicted - observed)), 6) AS mae, round(1 - avg(abs(predicted - observed)) / avg(abs(100 / size - observed)), 6) AS improvement FROM t GROUP BY election"),
     "kappa_ac1_pabak": (kappa_ac1_pabak, f"WITH {AGREE_SQL} SELECT * FROM ag"),
     "agreement_gate": (agreement_gate, f"WITH {AGREE_SQL} SELECT majority >= 0.85 AS skewed, CASE WHEN majority >= 0.85 THEN 'ac1' ELSE 'kappa' END AS route, CASE WHEN majority >= 0.85 THEN ac1 >= 0.6 ELSE kappa >= 0.6 END AS passes FROM ag"),
