@@ -5,8 +5,9 @@ start). Toxic and ordinary counts are kept apart at the full order and both back
 distribution of lower orders, whose continuation counts come from all documents, labelled or not; so a rare
 expression that only one class has shown is judged by its context, and what neither has shown says nothing.
 A document's evidence is the difference of both log-likelihoods, per byte (length-normalised) and per square
-root of bytes (its signal against chance); a logistic curve over them, fitted on labelled documents that the
-models have not counted, turns it into a score.
+root of bytes (its signal against chance), and the same sums over single bytes whose ratio is above STRONG, where a
+few toxic words of a long ordinary text show; a logistic curve over them, fitted on labelled documents that
+the models have not counted, turns it into a score.
 
 Counting is one pass over Arrow batches that yields (n-gram, counts) rows, summed by Spark; all smoothing is
 joins and aggregations by n-gram. The log ratios are folded into SLOTS hashed slots (weighted by how often
@@ -37,6 +38,7 @@ ORDER = 6
 DISCOUNT = 0.75
 SLOTS = 1 << 22
 MAX_FIT = 20_000
+STRONG = 2.5
 MAX_LABELS_BROADCAST = 1_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -170,21 +172,23 @@ def folded(ratios: DataFrame) -> np.ndarray:
 
 
 def evidence(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, size, llr: bytes in words and the summed log ratio of every row."""
+    """doc_id, size, llr, strong: bytes in words, the summed log ratio, and its part above STRONG, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in batches:
-            size, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            size, total, strong = (np.zeros(batch.num_rows) for _ in range(3))
             for row, data, cuts in text_chunks(batch.column(1)):
                 key, rows = _ngrams(data, cuts)
                 n = len(cuts) - 1
                 size[row : row + n] = np.bincount(rows, minlength=n)
-                total[row : row + n] = np.bincount(rows, ratio[_slot(key)], minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total)], ["doc_id", "size", "llr"])
+                r = ratio[_slot(key)]
+                total[row : row + n] = np.bincount(rows, r, minlength=n)
+                strong[row : row + n] = np.bincount(rows, np.where(r > STRONG, r, 0), minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total), pa.array(strong)], ["doc_id", "size", "llr", "strong"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size double, llr double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size double, llr double, strong double")
 
 
 def _fit(rows: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -204,11 +208,14 @@ def fold_of(doc_id):
 
 def features() -> list:
     size = F.greatest(F.col("size"), F.lit(1.0))
-    return [F.lit(1.0), 50 * F.col("llr") / size, F.col("llr") / F.sqrt(size), F.log(size + 1) / 10]
+    return [
+        F.lit(1.0), 50 * F.col("llr") / size, F.col("llr") / F.sqrt(size), F.log(size + 1) / 10,
+        50 * F.col("strong") / size, F.col("strong") / F.sqrt(size), F.log1p("strong"),
+    ]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, llr, size for every row of ``docs``."""
+    """doc_id, held_out, score, predicted, llr, size, strong for every row of ``docs``."""
     known = durable(
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -236,4 +243,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
         "llr",
         "size",
+        "strong",
     )
