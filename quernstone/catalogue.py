@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["contest", "bands", "history", "stats", "dedup", "text", "stream"]
+FAMILIES = ["contest", "bands", "history", "stats", "dedup", "text", "stream", "model"]
 
 
 def _all() -> dict[str, tuple]:

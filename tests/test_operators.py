@@ -112,3 +112,24 @@ def test_join_small_is_alike_on_both_sides_of_the_bound(spark):
     b = durable(spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
     wide, narrow = (sorted(map(tuple, join_small(a, b, ["k"], "left", n).collect()), key=str) for n in (100, 1))
     assert wide == narrow
+
+
+def test_frozen_tables_refuse_other_content(spark, tmp_path):
+    import pytest
+
+    from quernstone.sources.sinks import freeze_write
+
+    path = str(tmp_path / "t")
+    a = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string")
+    assert freeze_write(a, path) and not freeze_write(a.orderBy(F.desc("i")), path)
+    with pytest.raises(FileExistsError):
+        freeze_write(a.limit(1), path)
+
+
+def test_logistic_recovers_weights(spark):
+    from quernstone.operators.models import logistic_newton
+
+    rng = random.Random(4)
+    rows = [(x := rng.uniform(-2, 2), int(rng.random() < 1 / (1 + 2.718281828 ** -(0.5 + 1.5 * x)))) for _ in range(3000)]
+    w = logistic_newton(spark.createDataFrame(rows, "x double, y int"), ["x"], "y")
+    assert abs(w["1"] - 0.5) < 0.2 and abs(w["x"] - 1.5) < 0.2
