@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.functions.text import let
+
 
 def error_suite(df: DataFrame, predicted: str, observed: str, grains: dict[str, list[str]], places: int = 6) -> DataFrame:
     """MAE, RMSE, bias, median error and relative MAE at several grains in one grouping-sets pass."""
@@ -111,6 +113,10 @@ def ridge(df: DataFrame, columns: list[str], y: str, penalty: float) -> dict[str
     return {"intercept": float(mean[-1] - w @ mean[:-1]), **dict(zip(columns, map(float, w), strict=True))}
 
 
+#: The cumulative Poisson(1) probabilities that ``draws`` cuts at.
+POISSON_CUTS = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
+
+
 def draws(contests: DataFrame, key: str, replicates: int) -> DataFrame:
     """(replicate, key, times): a cluster bootstrap's multiplicities by hash, reproducible anywhere.
 
@@ -118,19 +124,12 @@ def draws(contests: DataFrame, key: str, replicates: int) -> DataFrame:
     need no positions, no totals and no shuffle.
     """
     rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    drawn = contests.select(key).distinct().select(key, rep.alias("replicate"))
+    spread = contests.select(key).distinct().repartition(contests.sparkSession.sparkContext.defaultParallelism, key)  # before it fans out
+    drawn = spread.select(key, rep.alias("replicate"))
     u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("replicate").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cuts, p, total = [], float(np.exp(-1)), 0.0
-    for k in range(8):
-        total += p
-        cuts.append(round(total, 9))
-        p /= k + 1
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return drawn.withColumn("times", times.cast("long"))
-
-
-#: The cumulative Poisson(1) probabilities that ``draws`` cuts at.
-POISSON_CUTS = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
+    cuts = F.array(*map(F.lit, POISSON_CUTS))
+    times = let(u, lambda v: F.size(F.filter(cuts, lambda c: v >= c)).cast("long"))  # one hash per row, wherever a filter on it is pushed
+    return drawn.select(key, "replicate", times.alias("times"))
 
 
 def largest_remainder(groups: DataFrame, key: str, size: str, seats: int) -> DataFrame:
