@@ -228,7 +228,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = durable(evidence(docs, folded(log_ratios(grams))))
     fit = scored.join(known.where(fold_of(F.col("doc_id")) == 4), "doc_id")
     sample = fit.orderBy(F.xxhash64("doc_id"), "doc_id", "llr").limit(MAX_FIT).select(*[x.alias(f"x{i}") for i, x in enumerate(features())], F.col("toxic").cast("double").alias("y"))
-    seen = sample.toPandas().to_numpy(dtype=float)
+    seen = np.column_stack([c.to_numpy().astype(float) for c in sample.toArrow().columns])
     if len(seen) and 0 < seen[:, -1].mean() < 1:
         w = _fit(seen)
         value = sum((float(c) * x for c, x in zip(w, features(), strict=True)), F.lit(0.0))
