@@ -102,24 +102,30 @@ def thresholds(metrics: DataFrame, lang: str = "lang", source: str = "source", p
 
 
 def with_limits(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``rows`` with the ``__limits`` of the narrowest group that has MIN_GROUP documents."""
-    enough = limits.where((F.col("docs") >= MIN_GROUP) | (F.col("level") == 3))
+    """``rows`` with the ``__limits`` of the narrowest group that has MIN_GROUP documents; the table's own
+    limits are one row, taken in as a constant."""
+    enough = limits.where(F.col("docs") >= MIN_GROUP)
     part = lambda level, *keys: enough.where(F.col("level") == level).select(*keys, F.col("limits").alias(f"__l{level}"))
     keyed = rows.withColumn("lang_key", F.coalesce(F.col(lang).cast("string"), F.lit(""))).withColumn(
         "source_key", F.coalesce(F.col(source).cast("string"), F.lit(""))
     )
     out = join_small(keyed, part(0, "lang_key", "source_key"), ["lang_key", "source_key"])
     out = join_small(out, part(1, "lang_key"), ["lang_key"])
-    out = join_small(out.withColumn("__level", F.lit(3)), part(3, F.col("level").alias("__level")), ["__level"])  # one row
-    return out.withColumn("__limits", F.coalesce("__l0", "__l1", "__l3")).drop("lang_key", "source_key", "__l0", "__l1", "__l3", "__level")
+    whole = limits.where("level = 3").select("limits.*").first()
+    table = F.struct(*[F.lit(whole[r] if whole else None).cast("double").alias(r) for r in RATIOS])
+    return out.withColumn("__limits", F.coalesce("__l0", "__l1", table)).drop("lang_key", "source_key", "__l0", "__l1")
 
 
 def passes(prefix: str = "") -> Column:
-    over = [F.col(prefix + r) > F.col("__limits")[r] for r in RATIOS]
-    bad = over[0]
-    for x in over[1:]:
-        bad = bad | x
-    return ~F.col(prefix + "base_failed") & ~bad
+    """Whether a row is kept. Each comparison is closed by a coalesce: a bare one (or the base verdict alone)
+    would let the optimizer infer null checks on the measurements and push them below the join, which
+    measures every text again for each of them."""
+    over = lambda value, r: F.coalesce(value > F.col("__limits")[r], F.lit(False))
+    first, *others = RATIOS
+    bad = over(F.when(F.col(prefix + "base_failed"), F.lit(float("inf"))).otherwise(F.col(prefix + first)), first)
+    for r in others:
+        bad = bad | over(F.col(prefix + r), r)
+    return ~bad
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
