@@ -1,12 +1,12 @@
 """Secret scans: candidate strings, judged by a random forest trained on labelled findings.
 
-Candidates are word values that could be keys: long runs of key characters with a digit, or shorter ones that
-are assigned to a name such as password or token. Each carries features of its own (length, shares and
+Candidates are the key runs of words, wherever they stand in them: issued keys, long runs of key characters with a
+digit, or shorter ones that are assigned to a name such as password or token. Each carries features of its own (length, shares and
 transitions of character classes, distinct characters, coverage by dictionary syllables), of its word (path
 or address marks, an assignment), and of its neighbours. A forest fitted on labelled findings removes the false
 positives, such as card numbers, hashes in paths and placeholders.
 
-Labelled findings come as a table (doc_id, place, label), or are drawn from the candidates by
+Labelled findings come as a table (doc_id, place, label; nth too, to tell the runs of a word apart), or are drawn from the candidates by
 ``decisive``: issued key formats and random values assigned to secret names are positive; numbers, addresses,
 paths and dictionary-like values are negative; others stay unlabelled. At most MAX_FIT of each label, by hash
 order, train the forest; everything else covers all rows. Scanning, features and the forest's prediction run in the JVM.
@@ -36,35 +36,86 @@ MAX_FIT = 4_000
 TREES, DEPTH, SEED = 20, 6, 20240229
 THRESHOLD = 0.5
 #: Names that secrets are assigned to, and issued key prefixes.
-NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abpr]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35})$"
+NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+KEYS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abpr]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35})"
+ISSUED = rf"^{KEYS}$"
 #: Frequent syllables and placeholder words.
 DICTIONARY = (
     "example|sample|dummy|placeholder|changeme|test|your|key|password|token|secret|the|and|ing|tion|ment|that|with|from|this|"
     "ent|est|ere|ein|ich|sch|ung|heit|keit|que|les|des|eau|eux|aux|tre|los|las|del|con|ado|ando|able|ness|less|over|under|data|file|user|name|page|html|index|www|http|com|org|net"
 )
 RUN = r"[A-Za-z0-9_+/\-]"
-MAYBE = rf"(?<!{RUN})(?=[A-Za-z_+/\-]*[0-9]){RUN}{{16,}}|{NAMES}\W{{0,4}}[=:]|AKIA[A-Z]{{16}}"
+VALUE = rf"{RUN}{{8,}}=*"
+KEY = rf"(?<![0-9A-Za-z]){KEYS}(?![0-9A-Za-z])"
+#: Separators of a name and its value; a closing colon and the padding of base64 are none.
+SEPARATOR = r"(?:=+|:)(?!=*[\"'`]*(?:$|[;,.)\]}>&|]|</))"
+USERINFO = r"://[^/@\s]*:[^/@\s]+@"
+ADDRESS = rf"{RUN}@[\w.-]+\.[A-Za-z]{{2,}}"
+MAYBE = rf"(?<!{RUN})(?=[A-Za-z_+/\-]*[0-9]){RUN}{{16,}}|{NAMES}\W{{0,4}}[=:]|AKIA[A-Z]{{16}}|{USERINFO}"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "transitions", "distinct", "dictionary", "path_marks", "assigned",
     "named_before", "plain_before", "plain_after", "hex_only", "digits_only", "issued",
 ]
 
 
+def _in_word(x: Column, before2: Column, before: Column) -> Column:
+    """Every key run of a word, in order within its part: value, and whether it is assigned, named, aside, or marked
+    as part of a path or an address. Parts lie between separators, so a value's name is the part before
+    its own; work and rows are linear in the word."""
+    access = x.rlike(USERINFO)
+    url = x.rlike("://|@")
+    introduced = before.rlike("[=:]$")
+    named_by_words = F.concat_ws(" ", before2, before).rlike(NAMES)
+
+    def part(parts: Column, s: Column, j: Column) -> Column:
+        rest = F.regexp_replace(s, KEY, " ")
+        keyed = F.concat(F.regexp_extract_all(s, F.lit(KEY), F.lit(0)), F.regexp_extract_all(rest, F.lit(VALUE), F.lit(0)))
+        values = F.when(s.rlike(KEY), keyed).otherwise(F.regexp_extract_all(s, F.lit(VALUE), F.lit(0)))
+        first, more = j == 0, j < F.size(parts) - 1
+        link = ~first & s.startswith("//")
+        address = s.rlike(ADDRESS) & ~access
+        assigned = F.when(first, introduced & ~more).otherwise(~link) & ~address
+        named = F.when(first, named_by_words | s.rlike(NAMES)).otherwise(~link & (F.get(parts, j - 1).rlike(NAMES) | access))
+        marked = link | address | F.regexp_replace(rest, VALUE, " ").rlike(r"[/\\].*[/\\]|@|\.[a-z]{2,4}[\"'`;,.)\]>]*$")
+        # a run right before a separator is the name of the next value
+        name = more & F.when(first, rest.rlike(rf"{RUN}{{8}}[\"'`]*$")).otherwise(rest.rlike(rf"[,;&{{?|][\"'`]*{RUN}{{8,}}[\"'`]*$"))
+        flags = F.struct(assigned.alias("assigned"), named.alias("named"), marked.alias("marked"), name.alias("name"))
+
+        def each(v: Column, f: Column, k: Column, n: Column) -> Column:
+            own = ~(f["name"] & (k == n - 1))
+            a, b, issued = f["assigned"] & own, f["named"] & own, v.rlike(ISSUED)
+            marks = (f["marked"] | v.rlike("/.*/")) & ~issued & ~(a & b)
+            return F.struct(v.alias("value"), a.alias("assigned"), b.alias("named_before"), marks.alias("path_marks"), (~own | (url & ~b)).alias("aside"))
+
+        return let(values, lambda vs: let(flags, lambda f: F.transform(vs, lambda v, k: each(v, f, k, F.size(vs)))))
+
+    return let(F.split(x, SEPARATOR), lambda parts: F.flatten(F.transform(parts, lambda s, j: part(parts, s, j))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, place (word number from 0), value, word, before2, before, after for every candidate."""
+    """For every candidate: doc_id, place, nth (number of its key run in the word, from 0), value, and flags of its
+    word and neighbours: assigned, named_before, path_marks, aside (unnamed in a URL, or itself the name of a value), plain_before, plain_after."""
+    plain = lambda c: c.rlike(r"^\p{L}+[.,]?$")
 
     def found(w: Column) -> Column:
         def look(x: Column, i: Column) -> Column:
-            value = F.regexp_extract(x, rf"({RUN}{{8,}}=*)[\"'`;,.)\]]*$", 1)
             before, before2 = F.coalesce(F.get(w, i - 1), F.lit("")), F.coalesce(F.get(w, i - 2), F.lit(""))
-            named = x.rlike(NAMES + r"[^=:]*[=:]") | (before.rlike("[=:]$") & (F.concat(before2, F.lit(" "), before).rlike(NAMES)))
-            long = (F.length(value) >= 16) & (value.rlike("[0-9]") | value.rlike(ISSUED))
-            good = (value != "") & (long | (named & value.rlike("[0-9]")))
             after = F.coalesce(F.get(w, i + 1), F.lit(""))
-            return F.when(good, F.struct(i.cast("long").alias("place"), value.alias("value"), x.alias("word"), before2.alias("before2"), before.alias("before"), after.alias("after")))
+            named = x.rlike(NAMES + r"[^=:]*[=:]") | (before.rlike("[=:]$") & (F.concat(before2, F.lit(" "), before).rlike(NAMES))) | x.rlike(USERINFO)
+
+            def kept(short: Column) -> Column:
+                def row(c: Column, k: Column) -> Column:
+                    v = c["value"]
+                    good = v.rlike(ISSUED) | (v.rlike("[0-9]") & ((F.length(v) >= 16) | short))
+                    flags = [c[f].alias(f) for f in ("assigned", "named_before", "path_marks", "aside")]
+                    near = [plain(before).alias("plain_before"), plain(after).alias("plain_after")]
+                    return F.when(good, F.struct(i.cast("long").alias("place"), k.cast("long").alias("nth"), v.alias("value"), *flags, *near))
+
+                return F.filter(F.transform(_in_word(x, before2, before), row), lambda c: c.isNotNull())
+
+            return F.when(x.rlike(f"{KEY}|{RUN}{{8}}") & (x.rlike("[0-9]") | x.rlike(KEY)), let(named, kept))
 
-        return F.filter(F.transform(w, look), lambda c: c.isNotNull())
+        return F.flatten(F.filter(F.transform(w, look), lambda c: c.isNotNull()))
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(MAYBE))
@@ -76,7 +127,6 @@ def with_features(found: DataFrame) -> DataFrame:
     v, n = F.col("value"), F.length("value").cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
-    plain = lambda c: flag(F.col(c).rlike(r"^\p{L}+[.,]?$"))
     low = F.lower(v)
     columns = {
         "length": n,
@@ -86,11 +136,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "transitions": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "dictionary": 1 - F.length(F.regexp_replace(low, f"(?:{DICTIONARY})", "")) / n,
-        "path_marks": flag(F.col("word").rlike(r"[/\\].*[/\\]|://|@|\.[a-z]{2,4}$")),
-        "assigned": flag(F.col("word").rlike("[=:]") | F.col("before").rlike("[=:]$")),
-        "named_before": flag(F.concat_ws(" ", "before2", "before", F.regexp_replace("word", r"[=:].*$", "")).rlike(NAMES)),
-        "plain_before": plain("before"),
-        "plain_after": plain("after"),
+        **{c: flag(F.col(c)) for c in ("path_marks", "assigned", "named_before", "plain_before", "plain_after")},
         "hex_only": flag(v.rlike("^[0-9a-f]+$")),
         "digits_only": flag(v.rlike("^[0-9+-]+$")),
         "issued": flag(v.rlike(ISSUED)),
@@ -101,24 +147,25 @@ def with_features(found: DataFrame) -> DataFrame:
 def decisive() -> Column:
     """1 or 0 where rules alone decide a finding's label, else null."""
     random = (F.col("distinct") * F.col("length") >= 6) & (F.col("digits") > 0.1) & (F.col("digits_only") == 0) & (F.col("dictionary") < 0.3)
-    yes = (F.col("issued") == 1) | ((F.col("assigned") == 1) & (F.col("named_before") == 1) & random & (F.col("path_marks") == 0))
-    no = (F.col("digits_only") == 1) | (F.col("path_marks") == 1) | (F.col("dictionary") >= 0.5) | F.col("value").rlike("(?i)example|placeholder|changeme")
-    return F.when(no, 0).when(yes, 1)
+    yes = (F.col("issued") == 1) | ((F.col("assigned") == 1) & (F.col("named_before") == 1) & random)
+    no = (F.col("digits_only") == 1) | (F.col("path_marks") == 1) | F.col("aside") | (F.col("dictionary") >= 0.5)
+    return F.when(F.col("value").rlike("(?i)example|placeholder|changeme"), 0).when(yes, 1).when(no, 0)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """doc_id, place, value, probability, is_secret for every candidate."""
+    """doc_id, place, nth, value, probability, is_secret for every candidate."""
     found = durable(with_features(candidates(docs)))
     if labelled is None:
         known = found.withColumn("label", decisive().cast("double"))
     else:
-        given = labelled.select("doc_id", "place", F.col("label").cast("double").alias("label"))
-        known = found.join(given, ["doc_id", "place"], "left")
+        keys = ["doc_id", "place", *(["nth"] if "nth" in labelled.columns else [])]
+        given = labelled.select(*keys, F.col("label").cast("double").alias("label"))
+        known = found.join(given, keys, "left")
     known = known.where("label is not null")
-    part = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("value", "doc_id", "place"), "value", "doc_id", "place").limit(MAX_FIT)
+    part = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("value", "doc_id", "place", "nth"), "value", "doc_id", "place", "nth").limit(MAX_FIT)
     sample = durable(reduce(DataFrame.union, [part(1.0), part(0.0)]).select("label", *FEATURES))
     kinds = {r["label"] for r in sample.select("label").distinct().collect()}
-    columns = ["doc_id", "place", "value"]
+    columns = ["doc_id", "place", "nth", "value"]
     if len(kinds) < 2:
         out = found.select(*columns, F.coalesce(decisive(), F.lit(0)).cast("double").alias("probability"))
     else:
