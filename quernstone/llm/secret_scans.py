@@ -51,7 +51,9 @@ KEY = rf"(?<![0-9A-Za-z]){KEYS}(?![0-9A-Za-z])"
 SEPARATOR = r"(?:=+|:)(?!=*[\"'`]*(?:$|[;,.)\]}>&|]|</))"
 USERINFO = r"://[^/@\s]*:[^/@\s]+@"
 ADDRESS = rf"{RUN}@[\w.-]+\.[A-Za-z]{{2,}}"
-MAYBE = rf"(?<!{RUN})(?=[A-Za-z_+/\-]*[0-9]){RUN}{{16,}}|{NAMES}\W{{0,4}}[=:]|AKIA[A-Z]{{16}}|{USERINFO}"
+#: A superset of the candidate rule, over whole texts: a long run with a digit, a name before a separator in its word
+#: or the next, access data in an address, an issued key.
+MAYBE = rf"(?<!{RUN})(?=[A-Za-z_+/\-]*[0-9])(?=[A-Za-z0-9_+/=\-]{{16}}){RUN}{{8,}}|{NAMES}[^\s=:]*(?:\s+[^\s=:]*)?[=:]|{USERINFO}|{KEY}"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "transitions", "distinct", "dictionary", "path_marks", "assigned",
     "named_before", "plain_before", "plain_after", "hex_only", "digits_only", "issued",
@@ -92,9 +94,10 @@ def _in_word(x: Column, before2: Column, before: Column) -> Column:
     return let(F.split(x, SEPARATOR), lambda parts: F.flatten(F.transform(parts, lambda s, j: part(parts, s, j))))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, prefilter: str = MAYBE) -> DataFrame:
     """For every candidate: doc_id, place, nth (number of its key run in the word, from 0), value, and flags of its
-    word and neighbours: assigned, named_before, path_marks, aside (unnamed in a URL, or itself the name of a value), plain_before, plain_after."""
+    word and neighbours: assigned, named_before, path_marks, aside (unnamed in a URL, or itself the name of a value), plain_before, plain_after.
+    ``prefilter`` passes every text that holds one; it only saves the splitting of the others."""
     plain = lambda c: c.rlike(r"^\p{L}+[.,]?$")
 
     def found(w: Column) -> Column:
@@ -118,7 +121,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.flatten(F.filter(F.transform(w, look), lambda c: c.isNotNull()))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(MAYBE))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(prefilter))
     words = F.split("text", r"\s+")
     return rows.select("doc_id", F.explode(let(words, found)).alias("c")).select("doc_id", "c.*")
 

@@ -276,6 +276,18 @@ def test_secrets_stand_anywhere_in_a_word(spark):
         assert clean[i] == text
 
 
+def test_secrets_prefilter_loses_no_candidate(spark, docs):
+    texts = [
+        "db_password_prod=abc12345", "token_live:9f8e7d6c", "the password is: hunter2abc", "password\t:\nhunter2abc", '"api_key" : "abc12345"', "sk-" + "abcdefghijklmnopqrst",
+        "ghp_" + "abCdeFghIjklMnopQrstUvwxYzabCdeFghIjkl", "ASIAQWERTYUIOPASDFGH", "x a1b2c3d4e5f6a7b8 y", "abcdefgh123456==", "ftp://me:abc12345@host", '{"auth":"abc12345"}', "author: x", "plain words",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(secret_scans.candidates(df))
+    assert {int(r["doc_id"]) for r in secret_scans.candidates(df).collect()} == set(range(12))
+    assert got == rows(secret_scans.candidates(df, ""))
+    assert rows(secret_scans.candidates(docs)) == rows(secret_scans.candidates(docs, ""))
+
+
 # BPE
 
 
