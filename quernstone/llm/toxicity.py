@@ -10,8 +10,9 @@ few toxic words of a long ordinary text show; a logistic curve over them, fitted
 the models have not counted, turns it into a score.
 
 Counting is one pass over Arrow batches that yields (n-gram, counts) rows, summed by Spark; all smoothing is
-joins and aggregations by n-gram. The log ratios are folded into SLOTS hashed slots (weighted by how often
-an n-gram occurs), so that the broadcast table has a fixed size of 4 * SLOTS bytes however large the corpus.
+joins and aggregations by n-gram. Every n-gram keeps its own log ratio, in units of 1 / UNIT so that sums are exact in
+any order. The most frequent ones, at most MAX_KEYS, are broadcast; a text's counts of all others meet their ratios in a
+shuffled join by n-gram, whose keys are rare, so the table grows with the corpus and no ratio depends on its size.
 
 Labels are learned from rows with crc32(doc_id) mod 5 in 1-3 (models) and 4 (curve, a sample of at most
 MAX_FIT rows); rows with 0 are held out. Without labels of both classes every score is 0.5's prior side: the
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.shingles import mix, text_chunks
+from quernstone.llm.shingles import text_chunks
 from quernstone.plans.durable import durable, join_small
 
 ORDER = 6
 DISCOUNT = 0.75
-SLOTS = 1 << 22
+MAX_KEYS = 1 << 22
+UNIT = 1 << 24
 MAX_FIT = 20_000
 STRONG = 2.5
 MAX_LABELS_BROADCAST = 1_000_000
@@ -152,43 +154,83 @@ def log_ratios(grams: DataFrame, d: float = DISCOUNT) -> DataFrame:
     return both.select("key", "n", (log_p("toxic") - log_p("ordinary")).alias("ratio"))
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (mix(key.astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def in_units(ratios: DataFrame) -> DataFrame:
+    """(key, n, units): the ratios as whole multiples of 1 / UNIT."""
+    return ratios.select("key", "n", F.round(F.greatest(F.least("ratio", F.lit(127.0)), F.lit(-127.0)) * UNIT).cast("int").alias("units"))
 
 
-def folded(ratios: DataFrame) -> np.ndarray:
-    """The ratios by hashed slot, averaged by occurrence: an array of fixed size."""
+def frequent(table: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """The keys, sorted, and units of the most frequent n-grams, at most ``bound``, and a table of all others, or None."""
+    level = F.floor(8 * F.log2("n"))
+    least, held = None, 0
+    levels = sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True)
+    for at, rows in levels:
+        if held + rows > bound:
+            break
+        least, held = at, held + rows
+    hot = (table.where(level >= least) if held else table.limit(0)).select("key", "units").toArrow()
+    key, units = hot.column("key").to_numpy(), hot.column("units").to_numpy()
+    order = np.argsort(key)
+    rest = None if held == sum(r["count"] for r in levels) else table.where(level < least) if held else table
+    return key[order], units[order], rest
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _slot(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(1), batch.column(2)], ["slot", "n", "ratio"])
 
-    by = ratios.mapInArrow(slots, "slot int, n long, ratio double").groupBy("slot")
-    rows = by.agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).cast("float").alias("ratio")).toArrow()
-    out = np.zeros(SLOTS, dtype=np.float32)  # at most SLOTS rows arrive
-    out[rows.column("slot").to_numpy()] = rows.column("ratio").to_numpy()
-    return out
+def _pairs(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of row and key, and how often each occurs."""
+    order = np.lexsort((key, rows))
+    rows, key = rows[order], key[order]
+    starts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (key[1:] != key[:-1])))
+    return rows[starts], key[starts], np.diff(np.append(starts, len(rows)))
 
 
-def evidence(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def evidence(docs: DataFrame, table: DataFrame, bound: int = MAX_KEYS) -> DataFrame:
     """doc_id, size, llr, strong: bytes in words, the summed log ratio, and its part above STRONG, of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    keys, units, rest = frequent(table, bound)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, units))
+    whole, limit = rest is None, STRONG * UNIT
+    names = ["doc_id", "a", "b", "key", "c", "size", "llr", "strong"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared.value
+        known, value = shared.value
         for batch in batches:
             size, total, strong = (np.zeros(batch.num_rows) for _ in range(3))
+            others = []
             for row, data, cuts in text_chunks(batch.column(1)):
                 key, rows = _ngrams(data, cuts)
-                n = len(cuts) - 1
+                key, n = key.view(np.int64), len(cuts) - 1
                 size[row : row + n] = np.bincount(rows, minlength=n)
-                r = ratio[_slot(key)]
+                at = np.searchsorted(known, key)
+                at[at == len(known)] = 0
+                found = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
+                r = np.where(found, value[at], 0) if len(known) else np.zeros(len(key))
                 total[row : row + n] = np.bincount(rows, r, minlength=n)
-                strong[row : row + n] = np.bincount(rows, np.where(r > STRONG, r, 0), minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total), pa.array(strong)], ["doc_id", "size", "llr", "strong"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size double, llr double, strong double")
+                strong[row : row + n] = np.bincount(rows, np.where(r > limit, r, 0), minlength=n)
+                if not whole and not found.all():
+                    others.append(_pairs(rows[~found] + row, key[~found]))
+            none = pa.nulls(batch.num_rows, pa.int64())
+            sums = [pa.array(x.astype(np.int64)) for x in (size, total, strong)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), none, none, *sums], names)
+            for rows, key, c in others:
+                who, none = pa.array(rows), pa.nulls(len(c), pa.int64())
+                columns = [none, batch.column(2).take(who), batch.column(3).take(who), pa.array(key), pa.array(c), none, none, none]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    part = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    real = [(F.col(c) / d).alias(c) for c, d in (("size", 1), ("llr", UNIT), ("strong", UNIT))]
+    if whole:
+        return part.select("doc_id", *real)
+    part = durable(part)
+    mine = part.where("key is null")
+    product = F.col("c") * F.col("units")
+    more = part.where("key is not null").join(rest.select("key", "units").hint("merge"), "key").groupBy("a", "b").agg(
+        F.sum(product).alias("llr_more"), F.sum(F.when(F.col("units") > limit, product).otherwise(0)).alias("strong_more")
+    )
+    copies = mine.groupBy("a", "b").agg(F.count("*").alias("copies"))  # equal texts have equal hashes and met together
+    each = more.join(copies, ["a", "b"]).select("a", "b", *[F.expr(f"{c}_more div copies").alias(f"{c}_more") for c in ("llr", "strong")])
+    joined = mine.join(each, ["a", "b"], "left")
+    summed = [(F.col(c) + F.coalesce(F.col(f"{c}_more"), F.lit(0))).alias(c) for c in ("llr", "strong")]
+    return joined.select("doc_id", "size", *summed).select("doc_id", *real)
 
 
 def _fit(rows: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -225,7 +267,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train, ["doc_id"], "left", MAX_LABELS_BROADCAST)
     kind = F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).otherwise(0)
     grams = durable(counts(rows.withColumn("kind", kind)))
-    scored = durable(evidence(docs, folded(log_ratios(grams))))
+    scored = durable(evidence(docs, durable(in_units(log_ratios(grams)))))
     fit = scored.join(known.where(fold_of(F.col("doc_id")) == 4), "doc_id")
     sample = fit.orderBy(F.xxhash64("doc_id"), "doc_id", "llr").limit(MAX_FIT).select(*[x.alias(f"x{i}") for i, x in enumerate(features())], F.col("toxic").cast("double").alias("y"))
     seen = np.column_stack([c.to_numpy().astype(float) for c in sample.toArrow().columns])

@@ -104,6 +104,18 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert toxicity.log_ratios(grams).where("ratio is null or isnan(ratio)").count() == 0
 
 
+def test_toxicity_ratios_keep_their_values_however_many_ngrams(spark):
+    """Five million frequent n-grams beside those of two texts: every ratio counts by its own key, broadcast or joined."""
+    texts = [(1, "vile words vile"), (2, "vile words vile"), (3, "calm words"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rare = toxicity.counts(docs.select("text", F.lit(1).alias("kind"))).select("key", F.lit(1).cast("long").alias("n"), F.lit(5.0).alias("ratio"))
+    crowd = spark.range(1 << 50, (1 << 50) + 5_000_000).select(F.col("id").alias("key"), F.lit(1000).cast("long").alias("n"), F.lit(-1.0).alias("ratio"))
+    want = {1: 65.0, 2: 65.0, 3: 45.0, 4: 0.0}
+    for grams, bound in ((rare.union(crowd), 1 << 22), (rare, 1 << 22), (rare.withColumn("n", F.col("key") % 3 + 1), 5), (rare, 0)):
+        got = toxicity.evidence(docs, toxicity.in_units(grams), bound).collect()
+        assert {r["doc_id"]: r["llr"] for r in got} == {r["doc_id"]: r["strong"] for r in got} == want and len(got) == 4
+
+
 # token counts
 
 
