@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +32,54 @@ from pyspark.sql import functions as F
 
 CACHE = 400_000
 LAST = 0x1000  # added to the character of a word's last symbol
+#: The code points (ranges in hexadecimal) on which the library's character tables differ from those of
+#: ``unicodedata`` 15.1: further letters and digits, marks that its normaliser takes for starters (and one second half of a
+#: pair that it does not compose), and capitals with their lower case.
+SPACES = "9-D 20 85 A0 1680 2000-200A 2028-2029 202F 205F 3000"
+MORE_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 "
+    "11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+)
+MORE_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+STARTERS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 "
+    "11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 "
+    "1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+MORE_CAPITALS = "1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"
+
+
+def code_ranges(text: str) -> list[tuple[int, int]]:
+    """The (first, last) code points of a list such as "20 2000-200A"."""
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (x.partition("-") for x in text.split())]
+
+
+def char_class(ranges: list[tuple[int, int]]) -> str:
+    """The inside of a bracketed class of a pattern."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache(maxsize=4)
+def category_ranges(kind: str) -> tuple[tuple[int, int], ...]:
+    """The ranges of code points whose general category starts with ``kind``."""
+    out: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == kind:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return tuple(map(tuple, out))
+
+
+def lower_table() -> dict[int, int]:
+    """The code points of MORE_CAPITALS with their lower case."""
+    out = {}
+    for part in MORE_CAPITALS.split():
+        capitals, _, to = part.partition(">")
+        ((a, b),) = code_ranges(capitals)
+        out.update({c: int(to, 16) + c - a for c in range(a, b + 1)})
+    return out
 
 
 def byte_characters() -> list[str]:
@@ -70,9 +120,18 @@ class WordBPE:
         self.machine.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
-        self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")") if self.special else None
+        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split).findall
+        classes = {r"\s": code_ranges(SPACES), r"\p{L}": [*category_ranges("L"), *code_ranges(MORE_LETTERS)], r"\p{N}": [*category_ranges("N"), *code_ranges(MORE_DIGITS)]}
+        for name, ranges in classes.items():  # the vocabulary's pattern names them within brackets only
+            split = split.replace(name, char_class(ranges))
+        self.exact = re.compile(split).findall
+        self.quick = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        unassigned = [r for r in category_ranges("C") if r[0] > 0xFF and r[1] < 0x10000]
+        self.unsure = re.compile(f"[{char_class(unassigned)}\\U00010000-\\U0010ffff]").search
+        self.starters = re.compile(f"([{char_class(code_ranges(STARTERS))}])")
+        self.capitals = lower_table()
+        self.rare = re.compile(f"[{char_class(code_ranges(STARTERS))}{''.join(map(chr, self.capitals))}]").search
 
     def _symbols(self, text: str) -> str:
         """A vocabulary entry as one character per symbol."""
@@ -144,8 +203,18 @@ class WordBPE:
         return " ".join([shown[offset[i] : offset[i + 1]] for i in ids])
 
     def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        return text.lower() if text.isascii() else "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        """Composed and in lower case, without the rule for a final sigma."""
+        if text.isascii():
+            return text.lower()
+        if self.rare(text):
+            text = "".join(unicodedata.normalize("NFC", x) for x in self.starters.split(text)).translate(self.capitals)
+        else:
+            text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens; texts of characters on which all tables agree take the faster pattern."""
+        return self.quick(text) if text.isascii() or not self.unsure(text) else self.exact(text)
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """(ids joined by spaces, how many, decoded text) of a whole text."""
