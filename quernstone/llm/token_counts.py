@@ -5,17 +5,21 @@ widths give every token's span exactly, and sections are spans of the same bytes
 the interval join is a merge of them (one binary search per token over whole batches of tokens). Byte order and character
 order agree, so joining byte spans joins the character spans.
 
-Sections are the lines of the text; a line break belongs to the line it ends. A token that crosses into
-the next section is allocated by RULE: "start" counts it where its first byte lies, "end" where its last byte
-lies, "split" shares it by bytes.
+Sections are the lines of the text (a line break belongs to the line it ends), or named fields, which are encoded as one
+text, end to end. A token that crosses into the next section is allocated by RULE: "start" counts it where its first byte
+lies, "end" where its last byte lies, "split" shares it by bytes.
 
-Defined results: a null text counts as empty; an empty text has one empty section and no tokens; repeated
+The library's pattern engine gives up on very long runs of blanks, so these are cut out by a linear scan first: such
+a run, but for a last blank that stands before other text, is one pre-token of the pattern.
+
+Defined results: a null text or field counts as empty; an empty text has one empty section and no tokens; repeated
 rows each get a row; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +34,23 @@ RULES = ("start", "end", "split")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
+#: The white space of the pattern's engine; runs of so many blanks are cut out.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def pre_cut(text: str) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is a single pre-token) of ``text``: long blank runs, and what lies between them."""
+    at = 0
+    for run in BLANKS.finditer(text):
+        a, b = run.span()
+        end = b if b == len(text) else b - 1
+        yield text[at:a], False
+        yield text[a:end], True
+        at = end
+    yield text[at:], False
+
+
+@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str):
     """The encoder of a rank file and the byte width of each id."""
     import tiktoken
@@ -59,20 +79,32 @@ def attribute(size: np.ndarray, breaks: np.ndarray, total: int, rule: str) -> tu
     return out, len(cross)
 
 
-def count(docs: DataFrame, path: str, rule: str = RULE, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, n_tokens, n_sections, n_crossing, section_tokens for every row of ``docs``."""
+def token_widths(path: str, pattern: str, text: str) -> np.ndarray:
+    """The byte widths of the tokens of ``text``, encoded whole. Long runs are cut out for PATTERN, whose pre-tokens
+    they are; another pattern meets the text as it is."""
+    coder, width = encoder(path, pattern)
+    if pattern != PATTERN or len(text) < 4096 or not BLANKS.search(text):
+        parts = [coder.encode_to_numpy(text, disallowed_special=())]
+    else:
+        single = encoder(path, r"(?s:.+)")[0]
+        parts = [(single if one else coder).encode_to_numpy(x, disallowed_special=()) for x, one in pre_cut(text) if x]
+    return width[np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in parts])] if parts else np.zeros(0, dtype=np.int64)
+
+
+def count(docs: DataFrame, path: str, rule: str = RULE, pattern: str = PATTERN, fields: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_sections, n_crossing, section_tokens for every row of ``docs``; one section per line of
+    ``text``, or per column of ``fields``."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, width = encoder(path, pattern)
         for batch in batches:
             tokens, sections, crossing, shares = [], [], [], []
-            for text in batch.column(1):
+            for text, lengths in zip(batch.column(1), batch.column(2), strict=True):
                 s = text.as_py() or ""
-                size = width[np.frombuffer(coder.encode_to_numpy(s, disallowed_special=()), dtype=np.uint32)]
+                size = token_widths(path, pattern, s)
                 raw = np.frombuffer(s.encode(), dtype=np.uint8)
-                breaks = np.flatnonzero(raw == 10) + 1
+                breaks = np.cumsum(lengths.as_py(), dtype=np.int64)[:-1] if fields else np.flatnonzero(raw == 10) + 1
                 found, crossed = attribute(size, breaks, len(raw), rule)
                 tokens.append(len(size))
                 sections.append(len(breaks) + 1)
@@ -85,5 +117,9 @@ def count(docs: DataFrame, path: str, rule: str = RULE, pattern: str = PATTERN)
                 ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if fields:
+        parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields]
+        rows = docs.select(F.col("doc_id").cast("long"), F.concat(*parts).alias("text"), F.array(*map(F.octet_length, parts)).alias("lengths"))
+    else:
+        rows = docs.select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("array<int>").alias("lengths"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")

@@ -128,23 +128,64 @@ def test_token_counts_round_trip(docs, edge, none):
     assert token_counts.count(edge, path).count() == len(EDGE) and token_counts.count(none, path).count() == 0
 
 
-def test_token_counts_match_offsets_of_another_library(docs):
+def brute_sections(own, width, parts, rule):
+    """Token shares of consecutive byte strings, byte by byte."""
+    owner = [i for i, x in enumerate(parts) for _ in x]
+    out, crossing, at = [0.0] * len(parts), 0, 0
+    for t in own:
+        held = owner[at : at + width[t]]
+        crossing += held[0] != held[-1]
+        for i in [held[0]] if rule == "start" else [held[-1]] if rule == "end" else held:
+            out[i] += 1 / len(held) if rule == "split" else 1
+        at += width[t]
+    assert at == len(owner)
+    return out, crossing
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_by_brute_force(docs, rule):
+    """Every section of every document, with ids from another library and a byte-by-byte attribution."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
-    got = {r["doc_id"]: r for r in token_counts.count(docs.limit(40), tokenizer_path("byte_bpe_50k.tiktoken")).collect()}
-    for r in docs.limit(40).collect():
-        enc = tok.encode(r["text"], add_special_tokens=False)
-        assert got[r["doc_id"]]["n_tokens"] == len(enc.ids)
-        starts, want = [0], []
-        for line in r["text"].split("\n"):
-            starts.append(starts[-1] + len(line) + 1)
-        want = [0] * (len(starts) - 1)
-        for a, b in enc.offsets:
-            want[max(i for i in range(len(want)) if starts[i] <= a)] += 1
-        if all(ord(c) < 128 for c in r["text"]):  # that library's offsets skip a token's leading space
-            assert abs(sum(want) - sum(got[r["doc_id"]]["section_tokens"])) < 1e-9
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    width = token_counts.encoder(path, token_counts.PATTERN)[1]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in token_counts.count(docs, path, rule).collect():
+        lines = [x.encode() for x in re.split("(?<=\n)", texts[r["doc_id"]])]
+        want, crossing = brute_sections(tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids, width, lines, rule)
+        assert r["n_crossing"] == crossing and r["n_sections"] == len(lines)
+        assert all(abs(a - b) < 1e-6 for a, b in zip(r["section_tokens"], want, strict=True))
+
+
+def test_token_counts_by_fields(spark):
+    from tokenizers import Tokenizer
+
+    tok, path = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), tokenizer_path("byte_bpe_50k.tiktoken")
+    width = token_counts.encoder(path, token_counts.PATTERN)[1]
+    made = [(1, "hel", "lo wor", "ld"), (2, None, "", "été"), (3, "", None, None)]
+    df = spark.createDataFrame(made, "doc_id long, title string, text string, `a b` string")
+    for rule in token_counts.RULES:
+        for r in token_counts.count(df, path, rule, fields=["title", "text", "a b"]).collect():
+            parts = [(x or "") for x in made[r["doc_id"] - 1][1:]]
+            want, _ = brute_sections(tok.encode("".join(parts), add_special_tokens=False).ids, width, [x.encode() for x in parts], rule)
+            assert r["n_sections"] == 3 and all(abs(a - b) < 1e-6 for a, b in zip(r["section_tokens"], want, strict=True))
+
+
+def test_token_counts_of_very_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    tok, path = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), tokenizer_path("byte_bpe_50k.tiktoken")
+    n = 2_000_000
+    runs = [" " * n, "\n" * n, "a" * n, "\t\n" * (n // 2), " " * n + "end", "x" + "\u2003" * 100_000 + "\n!"]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in token_counts.count(df, path).collect()}
+    assert all(got[i]["n_sections"] == x.count("\n") + 1 and abs(sum(got[i]["section_tokens"]) - got[i]["n_tokens"]) < 1e-3 for i, x in enumerate(runs))
+    for blank in (" ", "\n", "\t", "\u2003", " \n"):  # runs just above the cut equal another library
+        for tail in ("", "end", "!"):
+            text = "word" + blank * 5000 + tail
+            assert len(token_counts.token_widths(path, token_counts.PATTERN, text)) == len(tok.encode(text, add_special_tokens=False).ids)
 
 
 def test_boundary_rules():
