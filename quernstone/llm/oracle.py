@@ -10,16 +10,19 @@ SPACE = r"[^\x20\x09-\x0D]"
 
 
 def _quality() -> str:
+    step = "CASE " + " ".join(f"WHEN v < {top!r} THEN floor(v / {size!r}) * {size!r}" for top, size in q.STEPS[:-1]) + f" ELSE floor(v / {q.STEPS[-1][1]!r}) * {q.STEPS[-1][1]!r} END"
+    least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {float(v)!r}" for r, v in q.RATIOS.items()) + " END"
+    values = " UNION ALL ".join(f"SELECT l, s, '{r}' AS ratio, {r} AS v FROM m" for r in q.RATIOS)
+
     def level(name: str, keys: str) -> str:
-        cols = ", ".join(
-            f"quantile_disc({r}, 0.75) + {q.FENCE} * greatest(quantile_disc({r}, 0.75) - quantile_disc({r}, 0.25), CAST({least} AS DOUBLE)) AS t_{r}"
-            for r, least in q.RATIOS.items()
-        )
-        return f"{name} AS (SELECT {keys}count(*) AS docs, {cols} FROM m {'GROUP BY ' + keys.rstrip(', ') if keys else ''})"
+        at = "quantile_disc(step, {})"
+        low, high = at.format(0.25), at.format(0.75)
+        return f"{name} AS (SELECT {keys}ratio, count(*) AS docs, {high} + {q.FENCE} * greatest({high} - {low}, CAST({least} AS DOUBLE)) AS fence FROM sk GROUP BY {keys}ratio)"
 
-    over = " OR ".join(f"m.{r} > CASE WHEN g0.docs >= {q.MIN_GROUP} THEN g0.t_{r} WHEN g1.docs >= {q.MIN_GROUP} THEN g1.t_{r} ELSE g3.t_{r} END" for r in q.RATIOS)
+    drawn = lambda own, n, wider: f"({n} * {own} + {q.SHRINK} * {wider}) / ({n} + {q.SHRINK})"
+    over = " OR ".join(f"m.{r} > (SELECT x FROM lim WHERE lim.l = m.l AND lim.s = m.s AND ratio = '{r}')" for r in q.RATIOS)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{SPACE}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPACE}')) AS ls FROM d),
 win AS (SELECT doc_id, i, list_slice(w, i, i + {q.WINDOW - 1}) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {q.WINDOW - 1})) AS i FROM w WHERE len(w) > {q.WINDOW})),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
@@ -36,9 +39,10 @@ m AS (SELECT doc_id, l, s, n_words, word_chars, n_symbols, n_dup_lines, n_repeat
   CASE WHEN word_chars > 0 THEN up / word_chars ELSE 0.0 END AS upper_ratio,
   CASE WHEN n_words > 0 THEN marks / n_words ELSE 0.0 END AS mark_ratio,
   CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS word_length FROM b),
-{level("g0", "l, s, ")}, {level("g1", "l, ")}, {level("g3", "")}
-SELECT m.* EXCLUDE (l, s), NOT base_failed AND NOT ({over}) AS kept
-FROM m LEFT JOIN g0 ON m.l = g0.l AND m.s = g0.s LEFT JOIN g1 ON m.l = g1.l CROSS JOIN g3
+v AS ({values}), sk AS (SELECT l, s, ratio, {step} AS step FROM v),
+{level("g0", "l, s, ")}, {level("g1", "l, ")}, {level("g3", "")},
+lim AS (SELECT g0.l, g0.s, g0.ratio, {drawn("g0.fence", "g0.docs", "(" + drawn("g1.fence", "g1.docs", "g3.fence") + ")")} AS x FROM g0 JOIN g1 ON g0.l = g1.l AND g0.ratio = g1.ratio JOIN g3 ON g0.ratio = g3.ratio)
+SELECT m.* EXCLUDE (l, s), NOT base_failed AND NOT ({over}) AS kept FROM m
 """
 
 

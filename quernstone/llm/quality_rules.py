@@ -1,13 +1,15 @@
 """Quality rules with thresholds learned per language and source.
 
 Every document gets base counts and shape ratios in one pass of built-in functions. Each ratio's upper
-limit is a fence over the quartiles of its own (lang, source) group, read from quantile sketches
-(``percentile_approx`` keeps a mergeable Greenwald-Khanna summary per partition, so a source with a third
-of all rows is summarised where it lies and only summaries are shuffled). Small groups borrow the fence of
-their language, then of the whole table. The fences are joined back and filter the rows.
-
-Defined results: a null text counts as empty; null lang or source form their own group; an empty table
-gives an empty table; repeated rows each get their own result; extra columns are ignored, or kept by
+limit is a fence over the quartiles of its (lang, source) group, read from mergeable histogram sketches: a ratio is cut
+down to a step of its sketch, rows are counted by (lang, source, ratio, step) with map-side combining, and counts of
+languages and of the table are sums of those. So a source with a third of all rows costs one row per step and task, and
+no task meets a group's rows; a sketch has at most a few thousand steps, however many rows it counts.
+A group's fence is drawn towards that of its language, and that one's towards the table's, by SHRINK rows of the
+wider one, so small groups lean on the wider ones without a jump at any size. The fences are joined back and filter the rows.
+
+Defined results: a null text counts as empty; null lang or source form their own group, apart from the empty string; an empty
+table gives an empty table; repeated rows each get their own result; extra columns, whatever their names, are ignored, or kept by
 ``filter_documents``; ties have no influence as all limits are values, not ranks.
 """
 
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quernstone.llm.text import SPACE_WORD, let, words_of
+from quernstone.llm.text import SPACE_WORD, fresh, let, words_of
 from quernstone.plans.durable import durable, join_small
 
 WINDOW = 8
@@ -25,8 +28,9 @@ MAX_REPEAT_PERCENT = 30
 #: ratio -> least spread that a fence allows for, so that a group of equal values rejects nothing near them
 RATIOS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.15, "upper_ratio": 0.1, "mark_ratio": 0.05, "word_length": 1.0}
 FENCE = 3.0
-MIN_GROUP = 50
-ACCURACY = 10_000
+SHRINK = 50.0
+#: (values below, step): a sketch's resolution. Steps are powers of two, so cutting a value to its step is exact.
+STEPS = [(16.0, 1 / 4096), (65_536.0, 1.0), (float("inf"), 65_536.0)]
 
 
 def repeated_words(words: Column, n: int = WINDOW) -> Column:
@@ -50,9 +54,9 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(words) <= n, F.lit(0)).otherwise(let(hashes, covered)).cast("long")
 
 
-def with_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the base counts and the ratios, named ``prefix`` + name."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def metrics(text: Column) -> Column:
+    """A struct of the base counts and the ratios of a text."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(SPACE_WORD))
     packed = F.struct(
         let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
@@ -79,70 +83,100 @@ def with_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataF
             "mark_ratio": ratio(p["marks"], p["w"]["n"]),
             "word_length": ratio(p["chars"], p["w"]["n"]),
         }
-        return F.struct(*[c.alias(prefix + k) for k, c in out.items()])
+        return F.struct(*[c.alias(k) for k, c in out.items()])
 
-    return docs.withColumn("__q", let(packed, measured)).select(*[F.col(f"`{c}`") for c in docs.columns], "__q.*")
+    return let(packed, measured)
 
 
-def thresholds(metrics: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """(level, lang_key, source_key, docs, limits): one row per (lang, source), per lang, and for the table."""
-    m = metrics.select(
-        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang_key"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_key"),
-        *[F.col(prefix + r).alias(r) for r in RATIOS],
-    )
-    quart = [F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(r) for r in RATIOS]
-    limits = F.struct(
-        *[(F.col(r)[1] + FENCE * F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(float(least)))).alias(r) for r, least in RATIOS.items()]
-    )
-    grouped = m.groupingSets([["lang_key", "source_key"], ["lang_key"], []], "lang_key", "source_key").agg(
-        F.grouping_id().cast("int").alias("level"), F.count("*").alias("docs"), *quart
-    )
-    return grouped.select("level", "lang_key", "source_key", "docs", limits.alias("limits"))
+def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a last column of ``metrics``, named so that it clashes with none."""
+    (name,) = fresh(docs, "metrics")
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], metrics(F.col(f"`{text}`")).alias(name))
 
 
-def with_limits(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``rows`` with the ``__limits`` of the narrowest group that has MIN_GROUP documents; the table's own
-    limits are one row, taken in as a constant."""
-    enough = limits.where(F.col("docs") >= MIN_GROUP)
-    part = lambda level, *keys: enough.where(F.col("level") == level).select(*keys, F.col("limits").alias(f"__l{level}"))
-    keyed = rows.withColumn("lang_key", F.coalesce(F.col(lang).cast("string"), F.lit(""))).withColumn(
-        "source_key", F.coalesce(F.col(source).cast("string"), F.lit(""))
-    )
-    out = join_small(keyed, part(0, "lang_key", "source_key"), ["lang_key", "source_key"])
-    out = join_small(out, part(1, "lang_key"), ["lang_key"])
-    whole = limits.where("level = 3").select("limits.*").first()
-    table = F.struct(*[F.lit(whole[r] if whole else None).cast("double").alias(r) for r in RATIOS])
-    return out.withColumn("__limits", F.coalesce("__l0", "__l1", table)).drop("lang_key", "source_key", "__l0", "__l1")
+def group_key(col: str) -> Column:
+    """A group's key: null is a group of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{col}`").cast("string")), F.lit(""))
+
+
+def step_of(x: Column) -> Column:
+    """``x`` cut down to its step."""
+    cut = [(x < top, F.floor(x / step) * F.lit(step)) for top, step in STEPS[:-1]]
+    out = F.when(*cut[0])
+    for c in cut[1:]:
+        out = out.when(*c)
+    return out.otherwise(F.floor(x / STEPS[-1][1]) * F.lit(STEPS[-1][1]))
+
+
+def sketches(measured: DataFrame, column: str, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang_key, source_key, ratio, step, n): the histogram sketches of all groups."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("ratio"), step_of(F.col(f"`{column}`.{r}")).alias("step")) for r in RATIOS])
+    long = measured.select(group_key(lang).alias("lang_key"), group_key(source).alias("source_key"), F.explode(pairs).alias("p"))
+    return long.groupBy("lang_key", "source_key", "p.ratio", "p.step").agg(F.count("*").alias("n"))
 
 
-def passes(prefix: str = "") -> Column:
+def fences(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio, docs, fence) by summing the sketches of ``counted`` over ``keys``: quartiles are the least steps
+    whose running counts reach a quarter and three quarters of the rows."""
+    merged = counted.groupBy(*keys, "ratio", "step").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy(*keys, "ratio").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    total = Window.partitionBy(*keys, "ratio")
+    at = merged.select(*keys, "ratio", "step", F.sum("n").over(run).alias("below"), F.sum("n").over(total).alias("docs"))
+    reached = lambda part: F.min(F.when(4 * F.col("below") >= part * F.col("docs"), F.col("step")))
+    q = at.groupBy(*keys, "ratio").agg(F.max("docs").alias("docs"), reached(1).alias("low"), reached(3).alias("high"))
+    least = F.create_map(*[F.lit(x) for r, v in RATIOS.items() for x in (r, float(v))])
+    return q.select(*keys, "ratio", "docs", (F.col("high") + FENCE * F.greatest(F.col("high") - F.col("low"), least[F.col("ratio")])).alias("fence"))
+
+
+def thresholds(measured: DataFrame, column: str, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang_key, source_key, limits): one row per (lang, source), limits a struct by ratio."""
+    counted = durable(sketches(measured, column, lang, source))
+    table = fences(counted, []).select("ratio", F.col("fence").alias("table_fence"))
+    langs = fences(counted, ["lang_key"]).select("lang_key", "ratio", F.col("docs").alias("lang_docs"), F.col("fence").alias("lang_fence"))
+    wide = join_small(durable(langs), durable(table), ["ratio"])
+    drawn = lambda own, n, wider: (F.col(n) * F.col(own) + SHRINK * wider) / (F.col(n) + SHRINK)
+    lang_limit = drawn("lang_fence", "lang_docs", F.col("table_fence"))
+    wide = durable(wide.select("lang_key", "ratio", lang_limit.alias("lang_limit")))
+    own = join_small(fences(counted, ["lang_key", "source_key"]), wide, ["lang_key", "ratio"])
+    limit = own.select("lang_key", "source_key", "ratio", drawn("fence", "docs", F.col("lang_limit")).alias("limit"))
+    by_ratio = [F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(r) for r in RATIOS]
+    return limit.groupBy("lang_key", "source_key").agg(*by_ratio).select("lang_key", "source_key", F.struct(*RATIOS).alias("limits"))
+
+
+def passes(column: str, limits: str) -> Column:
     """Whether a row is kept. Each comparison is closed by a coalesce: a bare one (or the base verdict alone)
     would let the optimizer infer null checks on the measurements and push them below the join, which
     measures every text again for each of them."""
-    over = lambda value, r: F.coalesce(value > F.col("__limits")[r], F.lit(False))
+    m, limit = (lambda r: F.col(f"`{column}`.{r}")), (lambda r: F.col(f"`{limits}`.{r}"))
+    over = lambda value, r: F.coalesce(value > limit(r), F.lit(False))
     first, *others = RATIOS
-    bad = over(F.when(F.col(prefix + "base_failed"), F.lit(float("inf"))).otherwise(F.col(prefix + first)), first)
+    bad = over(F.when(m("base_failed"), F.lit(float("inf"))).otherwise(m(first)), first)
     for r in others:
-        bad = bad | over(F.col(prefix + r), r)
+        bad = bad | over(m(r), r)
     return ~bad
 
 
+def judged(docs: DataFrame) -> tuple[DataFrame, str, Column]:
+    """(``docs`` measured once, written, and joined with their group's limits; the metrics' column; the verdict)."""
+    rows = with_metrics(docs)
+    column = rows.columns[-1]
+    rows = durable(rows)
+    lang, source, limits = fresh(rows, "lang_key", "source_key", "limits")
+    found = durable(thresholds(rows, column)).toDF(lang, source, limits)
+    return join_small(rows.withColumn(lang, group_key("lang")).withColumn(source, group_key("source")), found, [lang, source]), column, passes(column, limits)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base counts, ratios, base_failed, kept."""
-    rows = docs.select("doc_id", "text", "lang", "source")
-    metrics = durable(with_metrics(rows).drop("text"))
-    limits = durable(thresholds(metrics))
-    return with_limits(metrics, limits).withColumn("kept", passes()).drop("lang", "source", "__limits")
+    slim = docs.select("doc_id", "lang", "source", metrics(F.col("text")).alias("metrics"))
+    rows = durable(slim)
+    found = durable(thresholds(rows, "metrics"))
+    joined = join_small(rows.withColumn("lang_key", group_key("lang")).withColumn("source_key", group_key("source")), found, ["lang_key", "source_key"])
+    return joined.select("doc_id", "metrics.*", passes("metrics", "limits").alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns unchanged.
-
-    The measurements are made twice, once for the sketches and once in the filtering scan, so that texts
-    are neither shuffled nor written in between.
-    """
-    p = "__q_"
-    measured = lambda: with_metrics(docs, prefix=p)
-    limits = durable(thresholds(measured(), prefix=p))
-    return with_limits(measured(), limits).where(passes(p)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with their columns unchanged. Texts are measured once, and written beside
+    their measurements so that neither sketches nor verdicts measure them again."""
+    rows, _, kept = judged(docs)
+    return rows.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -22,3 +22,15 @@ def ascii_lower(col: Column) -> Column:
 
 def words_of(col: Column, pattern: str = SPACE_WORD) -> Column:
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(pattern), F.lit(0))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
