@@ -1,21 +1,24 @@
 """Secret scans: candidate strings, judged by a random forest trained on labelled findings.
 
 Candidates are the key runs of words, wherever they stand in them: issued keys, long runs of key characters with a
-digit, or shorter ones that are assigned to a name such as password or token. Each carries features of its own (length, shares and
-transitions of character classes, distinct characters, coverage by dictionary syllables), of its word (path
-or address marks, an assignment), and of its neighbours. A forest fitted on labelled findings removes the false
-positives, such as card numbers, hashes in paths and placeholders.
+digit, or shorter ones that are assigned to a name such as password or token. The forest sees what a candidate looks like
+and where it stands: its length, shares and transitions of character classes, distinct characters, coverage by a dictionary,
+path marks, and its neighbouring words. It alone decides, and so removes the false positives, such as card numbers, ids in paths and
+placeholders.
 
 Labelled findings come as a table (doc_id, place, label; nth too, to tell the runs of a word apart), or are drawn from the candidates by
-``decisive``: issued key formats and random values assigned to secret names are positive; numbers, addresses,
-paths and dictionary-like values are negative; others stay unlabelled. At most MAX_FIT of each label, by hash
-order, train the forest; everything else covers all rows. Scanning, features and the forest's prediction run in the JVM.
+``decisive``, from evidence that the forest does not see: issued key formats and values assigned to secret names are positive;
+numbers with a card's check digit, runs within addresses and names of other values are negative; others stay unlabelled. At most MAX_FIT
+of each label, by hash order, train the forest; a fifth of all values, by hash, is held out from it (``held_out`` reports on it).
+Everything else covers all rows. Scanning, features and the forest's prediction run in the JVM.
 
-Only documents that a first pattern passes are split into words, each within its row, so no text is shuffled.
+The dictionary are the corpus's own words: those of 3 to 12 letters that at least MIN_DOCS documents hold, looked up for the letter
+runs of the candidates only. Only documents that a first pattern passes are split into words for candidates, each within its row, so no text is shuffled.
 
 Defined results: a null text counts as empty; documents without candidates have no rows; a null doc_id
-is reported as such; repeated rows are reported once each; without labelled findings of both kinds all candidates take the rules' own verdict (probability 1 for
-positives, else 0); an empty table gives an empty table; extra columns are ignored, or kept by ``redact``.
+is reported as such; repeated rows are reported once each; without labelled findings of both kinds no forest can be fitted, and all
+candidates take the rules' own verdict (probability 1 for positives, else 0); an empty table gives an empty table; extra columns, whatever
+their names, are ignored, or kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.text import let
-from quernstone.plans.durable import durable
+from quernstone.llm.text import ascii_lower, fresh, let
+from quernstone.plans.durable import durable, join_small
 
 MASK = "[SECRET]"
 MAX_FIT = 4_000
@@ -39,11 +42,12 @@ THRESHOLD = 0.5
 NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 KEYS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abpr]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35})"
 ISSUED = rf"^{KEYS}$"
-#: Frequent syllables and placeholder words.
-DICTIONARY = (
-    "example|sample|dummy|placeholder|changeme|test|your|key|password|token|secret|the|and|ing|tion|ment|that|with|from|this|"
-    "ent|est|ere|ein|ich|sch|ung|heit|keit|que|les|des|eau|eux|aux|tre|los|las|del|con|ado|ando|able|ness|less|over|under|data|file|user|name|page|html|index|www|http|com|org|net"
-)
+#: A dictionary word's letters, and the documents that must hold it.
+WORD_LETTERS = (3, 12)
+MIN_DOCS = 5
+HELD_OUT = 5  # one value in so many is kept from training
+#: Words of placeholders.
+PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme"
 RUN = r"[A-Za-z0-9_+/\-]"
 VALUE = rf"{RUN}{{8,}}=*"
 KEY = rf"(?<![0-9A-Za-z]){KEYS}(?![0-9A-Za-z])"
@@ -55,8 +59,7 @@ ADDRESS = rf"{RUN}@[\w.-]+\.[A-Za-z]{{2,}}"
 #: or the next, access data in an address, an issued key.
 MAYBE = rf"(?<!{RUN})(?=[A-Za-z_+/\-]*[0-9])(?=[A-Za-z0-9_+/=\-]{{16}}){RUN}{{8,}}|{NAMES}[^\s=:]*(?:\s+[^\s=:]*)?[=:]|{USERINFO}|{KEY}"
 FEATURES = [
-    "length", "digits", "uppers", "lowers", "transitions", "distinct", "dictionary", "path_marks", "assigned",
-    "named_before", "plain_before", "plain_after", "hex_only", "digits_only", "issued",
+    "length", "digits", "uppers", "lowers", "transitions", "distinct", "dictionary", "path_marks", "plain_before", "plain_after",
 ]
 
 
@@ -126,11 +129,35 @@ def candidates(docs: DataFrame, prefilter: str = MAYBE) -> DataFrame:
     return rows.select("doc_id", F.explode(let(words, found)).alias("c")).select("doc_id", "c.*")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def letter_runs(value: Column) -> Column:
+    """All parts of WORD_LETTERS letters of the value's letter runs, lower-cased: array of (at, size, word). Linear in the value."""
+    low, (least, most) = ascii_lower(value), WORD_LETTERS
+    part = lambda i: F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.struct(i.alias("at"), k.alias("size"), F.substring(low, i, k).alias("word")))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(value) - least + 1), part))
+    return F.when(F.length(value) >= least, F.filter(parts, lambda p: (F.length(p["word"]) == p["size"]) & p["word"].rlike("^[a-z]+$")))
+
+
+def coverage(values: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(value, dictionary): the share of each distinct value's characters that lies in words of the corpus."""
+    least, most = WORD_LETTERS
+    parts = durable(values.select("value").distinct().select("value", F.explode(letter_runs(F.col("value"))).alias("p")).select("value", "p.*"))
+    asked = durable(parts.select("word").distinct())
+    low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{{least},{most}}}(?![\p{{L}}\p{{N}}_])"), F.lit(0)))
+    held = join_small(docs.select(F.explode(words).alias("word")), asked, ["word"], "inner")
+    known = durable(held.groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("word"))
+    spans = join_small(parts, known, ["word"], "inner").groupBy("value").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    step = lambda a, x: F.struct(
+        (a["n"] + F.greatest(F.lit(0), x["at"] + x["size"] - F.greatest(x["at"], a["end"]))).alias("n"), F.greatest(a["end"], x["at"] + x["size"]).alias("end")
+    )
+    return spans.select("value", (F.aggregate("spans", start, step)["n"] / F.length("value")).alias("dictionary"))
+
+
+def with_features(found: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``found`` with the FEATURES, as doubles."""
     v, n = F.col("value"), F.length("value").cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
-    flag = lambda c: c.cast("double")
-    low = F.lower(v)
     columns = {
         "length": n,
         "digits": share("[0-9]"),
@@ -138,57 +165,83 @@ def with_features(found: DataFrame) -> DataFrame:
         "lowers": share("[a-z]"),
         "transitions": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "dictionary": 1 - F.length(F.regexp_replace(low, f"(?:{DICTIONARY})", "")) / n,
-        **{c: flag(F.col(c)) for c in ("path_marks", "assigned", "named_before", "plain_before", "plain_after")},
-        "hex_only": flag(v.rlike("^[0-9a-f]+$")),
-        "digits_only": flag(v.rlike("^[0-9+-]+$")),
-        "issued": flag(v.rlike(ISSUED)),
+        "dictionary": F.coalesce("dictionary", F.lit(0.0)),
+        **{c: F.col(c).cast("double") for c in ("path_marks", "plain_before", "plain_after")},
     }
-    return found.withColumns(columns)
+    return join_small(found, durable(coverage(found, docs, min_docs)), ["value"]).withColumns(columns)
+
+
+def card_number(value: Column) -> Column:
+    """Whether 13 to 19 digits, hyphens aside, carry a card number's check digit."""
+    digits = F.split(F.reverse(F.regexp_replace(value, "-", "")), "")
+    double = lambda x: F.when(x > 4, 2 * x - 9).otherwise(2 * x)
+    total = F.aggregate(F.transform(digits, lambda c, i: F.when(i % 2 == 1, double(c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda a, x: a + x)
+    return F.when(value.rlike("^[0-9][0-9-]{11,22}[0-9]$"), total % 10 == 0).otherwise(False)
 
 
 def decisive() -> Column:
-    """1 or 0 where rules alone decide a finding's label, else null."""
-    random = (F.col("distinct") * F.col("length") >= 6) & (F.col("digits") > 0.1) & (F.col("digits_only") == 0) & (F.col("dictionary") < 0.3)
-    yes = (F.col("issued") == 1) | ((F.col("assigned") == 1) & (F.col("named_before") == 1) & random)
-    no = (F.col("digits_only") == 1) | (F.col("path_marks") == 1) | F.col("aside") | (F.col("dictionary") >= 0.5)
-    return F.when(F.col("value").rlike("(?i)example|placeholder|changeme"), 0).when(yes, 1).when(no, 0)
+    """1 or 0 where evidence outside the FEATURES decides a finding's label, else null."""
+    issued = F.col("value").rlike(ISSUED)
+    named = F.col("assigned") & F.col("named_before")
+    fake = F.col("value").rlike(PLACEHOLDER)
+    return F.when(fake, 0).when(issued | named, 1).when(F.col("aside") | card_number(F.col("value")), 0)
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """doc_id, place, nth, value, probability, is_secret for every candidate."""
-    found = durable(with_features(candidates(docs)))
+def labelled_findings(found: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """``found`` with a label, 1 or 0, where one is known."""
     if labelled is None:
         known = found.withColumn("label", decisive().cast("double"))
     else:
         keys = ["doc_id", "place", *(["nth"] if "nth" in labelled.columns else [])]
-        given = labelled.select(*keys, F.col("label").cast("double").alias("label"))
-        known = found.join(given, keys, "left")
-    known = known.where("label is not null")
-    part = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("value", "doc_id", "place", "nth"), "value", "doc_id", "place", "nth").limit(MAX_FIT)
+        known = found.join(labelled.select(*keys, F.col("label").cast("double").alias("label")), keys, "left")
+    return known.where("label is not null").withColumn("held_out", F.pmod(F.xxhash64("value", F.lit(SEED)), F.lit(HELD_OUT)) == 0)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """Every candidate with its FEATURES, written once."""
+    return durable(with_features(durable(candidates(docs)), docs))
+
+
+def judge(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` with probability: the share of the forest's vote; the forest sees the FEATURES of ``known`` that are not held out."""
+    keys = [F.xxhash64("value", "doc_id", "place", "nth"), "value", "doc_id", "place", "nth"]
+    part = lambda y: known.where((F.col("label") == y) & ~F.col("held_out")).orderBy(*keys).limit(MAX_FIT)
     sample = durable(reduce(DataFrame.union, [part(1.0), part(0.0)]).select("label", *FEATURES))
-    kinds = {r["label"] for r in sample.select("label").distinct().collect()}
-    columns = ["doc_id", "place", "nth", "value"]
-    if len(kinds) < 2:
-        out = found.select(*columns, F.coalesce(decisive(), F.lit(0)).cast("double").alias("probability"))
-    else:
-        pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        model = forest.fit(pack.transform(sample.coalesce(1)))
-        judged = model.transform(pack.transform(found))
-        out = judged.select(*columns, F.round(vector_to_array("probability")[1], 9).alias("probability"))
-    return out.withColumn("is_secret", F.col("probability") > THRESHOLD)
+    if sample.select("label").distinct().count() < 2:
+        return found.withColumn("probability", F.coalesce(decisive(), F.lit(0)).cast("double"))
+    pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    model = forest.fit(pack.transform(sample.coalesce(1)))
+    return model.transform(pack.transform(found)).withColumn("probability", F.round(vector_to_array("probability")[1], 9))
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """doc_id, place, nth, value, probability, is_secret for every candidate."""
+    found = features(docs)
+    judged = judge(found, labelled_findings(found, labelled))
+    return judged.select("doc_id", "place", "nth", "value", "probability", (F.col("probability") > THRESHOLD).alias("is_secret"))
+
+
+def held_out(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """label, is_secret, n: the forest's verdicts on the labelled findings that it has not seen. Without the forest every candidate
+    is a finding, so the rows of label 0 are what it removes."""
+    found = features(docs)
+    known = durable(labelled_findings(found, labelled))
+    judged = judge(known.where("held_out"), known)
+    return judged.groupBy("label", (F.col("probability") > THRESHOLD).alias("is_secret")).agg(F.count("*").alias("n"))
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by MASK; other columns unchanged but for n_chars, which
     follows the text. Documents that the first pattern passes by are not joined with anything."""
-    bad = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value").alias("__secrets"))
+    (secrets,) = fresh(docs, "secrets")
+    (own,) = fresh(docs.withColumn(secrets, F.lit(None)), "own_id")
+    bad = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("value").alias(secrets))
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    hit = docs.where(maybe).join(durable(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    longest = F.array_sort(F.transform("__secrets", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
-    clean = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["s"], F.lit(MASK))))
+    hit = docs.where(maybe).join(durable(bad), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    longest = F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
+    clean = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["s"], F.lit(MASK))))
     rows = hit.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return docs.where(~maybe).unionByName(rows.select(*[F.col(f"`{c}`") for c in docs.columns]))
