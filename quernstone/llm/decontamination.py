@@ -6,18 +6,20 @@ must then stand unchanged in any text that holds it. One Aho-Corasick scan of a
 each hit names the stretch where its item would lie, and Myers' bit-parallel distance of the item within the
 merged stretches decides. Documents never meet each other and nothing is shuffled.
 
-Items travel to the tasks in shards of at most SHARD_CHARS characters, one scan each, so the automaton's
-size is bounded however large the benchmark grows.
+Items travel to the tasks in shards of about SHARD_CHARS characters, so the automaton's size is bounded however large the benchmark
+grows. One shard is one scan. Beyond that the normalised texts are written once, and one shard at a time is read by the
+driver, broadcast, scanned for, its result written, and let go: memory holds one shard, time grows with their number.
 
-Defined results: null texts and items count as empty; an item without letters or digits matches nothing;
+Defined results: null texts and items count as empty; an item without letters or digits matches nothing; an item too short for
+an edit must stand as whole words ("no" is not found in "nothing"), a longer one may begin and end within words;
 repeated items or item ids give one row per (document row, item_id), with the least distance; rows with a
-null doc_id are reported with it; empty tables give an empty result; extra columns are ignored, or kept by
+null doc_id are reported with it; empty tables give an empty result; extra columns, whatever their names, are ignored, or kept by
 ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -25,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.text import fresh
+from quernstone.plans.durable import durable
+
 CHARS_PER_EDIT = 12
 SHARD_CHARS = 4_000_000
 
@@ -96,6 +101,12 @@ class Matcher:
         best: dict[int, tuple[int, int, int]] = {}
         for n, starts in spans.items():
             i, item, k = self.items[n]
+            if not k:
+                whole = lambda s, e: (s == 0 or text[s - 1] == " ") and (e == len(text) or text[e] == " ")
+                at = next((s for s in starts if whole(s, s + len(item))), None)
+                if at is not None and i not in best or at is not None and best[i][0]:
+                    best[i] = (0, 0, at + len(item))
+                continue
             lo = hi = None
             stretches = []
             for s in sorted(starts):
@@ -115,21 +126,40 @@ class Matcher:
         return [(i, *found) for i, found in best.items()]
 
 
-def shards(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in lists of bounded size; each is a separate broadcast and scan."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("t")).where("t <> ''").distinct()
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct normalised items (item_id, t), written once, and in how many shards they are dealt."""
+    items = durable(benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("t")).where("t <> ''").distinct())
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // SHARD_CHARS)
-    return [[(r["item_id"], r["t"]) for r in items.where(F.pmod(F.xxhash64("t"), n) == i).orderBy("item_id", "t").collect()] for i in range(n)]
+    return items, -(-total // SHARD_CHARS)
+
+
+def shard(items: DataFrame, n: int, i: int) -> list[tuple[int, str]]:
+    """The items of shard ``i`` of ``n``: about SHARD_CHARS characters."""
+    return [(r["item_id"], r["t"]) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == i).orderBy("item_id", "t").collect()]
+
+
+def over_shards(rows: DataFrame, benchmark: DataFrame, scan: Callable[[DataFrame, object], DataFrame], chain: bool) -> list[DataFrame]:
+    """``scan(rows, broadcast items)`` for each shard; with ``chain`` each scan takes the rows that the one before left."""
+    items, n = items_of(benchmark)
+    if n > 1:
+        rows = durable(rows)
+    found = []
+    for i in range(n):
+        shared = rows.sparkSession.sparkContext.broadcast(shard(items, n, i))
+        part = scan(rows, shared)
+        if n > 1:
+            part = durable(part)
+            shared.unpersist()
+        rows = part if chain else rows
+        found.append(part)
+    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """doc_id, item_id, distance, budget, end (in the normalised text): one row per document and item found."""
     schema = "doc_id long, item_id long, distance int, budget int, end long"
 
-    def scan(items: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
+    def scan(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, chars_per_edit)
             for batch in batches:
@@ -138,26 +168,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_P
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "budget", "end"])
 
-        return docs.select(F.col("doc_id").cast("long"), normal(F.col("text")).alias("t")).mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
-    parts = [scan(items) for items in shards(benchmark)]
+    parts = over_shards(docs.select(F.col("doc_id").cast("long"), normal(F.col("text")).alias("t")), benchmark, scan, False)
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns unchanged."""
+    (name,) = fresh(docs, "normal_text")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
 
-    def keep(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(items)
-
+    def scan(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, chars_per_edit)
             for batch in batches:
-                last = batch.num_columns - 1
-                clean = [not matcher.find(t.as_py()) for t in batch.column(last)]
-                yield pa.RecordBatch.from_arrays(batch.columns[:last], batch.schema.names[:last]).filter(pa.array(clean, pa.bool_()))
+                clean = [not matcher.find(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-        with_text = rows.select(*[F.col(f"`{c}`") for c in rows.columns], normal(F.col("text")).alias("__normal"))
-        return with_text.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(run, rows.schema)
 
-    return reduce(keep, shards(benchmark), docs)
+    parts = over_shards(docs.select(*columns, normal(F.col("text")).alias(name)), benchmark, scan, True)
+    return parts[-1].select(*columns) if parts else docs

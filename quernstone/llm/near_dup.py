@@ -9,7 +9,7 @@
 3. Within a posting agreements are counted leader by leader; documents already reached from a leader are
    skipped, so a posting of g documents yields at most g - 1 links, never its pairs. Long postings are cut
    into tiles, and each pair of tiles is compared in a task of its own.
-4. Connected candidates form clusters; their members' full sets meet in tiles of bounded size, where exact
+4. Connected candidates form clusters; their members' full sets meet in tiles of bounded summed size, where exact
    intersections confirm the links, again as spanning links only. Components of confirmed links give the ids.
 
 All true links lie within a cluster unless a pair agrees in fewer than MATCHES coordinates: at similarity
@@ -18,7 +18,8 @@ All true links lie within a cluster unless a pair agrees in fewer than MATCHES c
 Defined results: a null or wordless text has an empty set and links with nothing; a text with fewer words
 than a shingle is one shingle; rows that share a doc_id count as one document; rows with a null doc_id are
 not linked (component null, kept); an empty table gives an empty table; ties do not matter as ids are minima;
-extra columns are ignored, or kept by ``keep_one``.
+extra columns, whatever their names, are ignored, or kept by ``keep_one``. Of rows that share doc_id and text, ``keep_one`` keeps one (the
+least by a hash of all its columns); rows of one doc_id with other texts stay or go together.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.shingles import mix, shingle_sets
+from quernstone.llm.text import fresh
 from quernstone.operators.components import connected_components
 from quernstone.plans.durable import durable
 
@@ -40,6 +42,7 @@ MATCHES = 35
 WORDS = 5
 PERCENT = 80
 TILE = 2000
+TILE_HASHES = 4_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -174,9 +177,12 @@ def _confirm(percent: int):
     return run
 
 
-def _tiles(rows: DataFrame, count: str, doc: str) -> DataFrame:
-    """One row per pair of tiles (i <= j) that the document's tile takes part in; one tile up to TILE members."""
+def _tiles(rows: DataFrame, count: str, doc: str, hashes: str | None = None) -> DataFrame:
+    """One row per pair of tiles (i <= j) that the document's tile takes part in; one tile up to TILE members, and up to
+    TILE_HASHES in all their sets together where ``hashes`` counts these."""
     n = F.ceil(F.col(count) / TILE).cast("int")
+    if hashes:
+        n = F.greatest(n, F.ceil(F.col(hashes) / TILE_HASHES).cast("int"))
     own = F.pmod(F.xxhash64(doc), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))
     tiled = rows.withColumn("__own", own).withColumn("__other", other)
@@ -198,20 +204,20 @@ def candidates(leaders: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning links (a, b) of documents of one cluster (node, component) whose sets are similar enough."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = durable(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "n"))
+    """Spanning links (a, b) of documents of one cluster (node, component, n_shingles) whose sets are similar enough."""
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
+    members = durable(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "n", "hashes"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch.column(3), words))
+            found = list(shingle_sets(batch.column(4), words))
             cuts = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32) if found else np.zeros(1, dtype=np.int32))
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(cuts, flat)], ["component", "n", "doc", "set"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.ListArray.from_arrays(cuts, flat)], ["component", "n", "hashes", "doc", "set"])
 
-    full = rows.select("component", "n", F.col("doc_id").alias("doc"), "text").mapInArrow(sets, "component long, n long, doc long, set array<long>")
-    tiled = _tiles(full, "n", "doc").select("component", "i", "j", "doc", "set")
+    full = rows.select("component", "n", "hashes", F.col("doc_id").alias("doc"), "text").mapInArrow(sets, "component long, n long, hashes long, doc long, set array<long>")
+    tiled = _tiles(full, "n", "doc", "hashes").select("component", "i", "j", "doc", "set")
     dealt = tiled.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc")
     return dealt.mapInArrow(_confirm(percent), "a long, b long").distinct()
 
@@ -220,8 +226,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     sketched = durable(sketches(docs, words))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    leaders = durable(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("sign").alias("sign")))
-    clusters = durable(connected_components(candidates(leaders.select("doc", "sign")).where("a <> b")))
+    leaders = durable(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n_shingles")))
+    found = connected_components(candidates(leaders.select("doc", "sign")).where("a <> b"))
+    clusters = durable(found.join(leaders.select(F.col("doc").alias("node"), "n_shingles"), "node"))
     links = durable(confirmed(docs, clusters, words, percent).where("a <> b"))
     own = named.select("doc_id", "f1", "f2").join(leaders.select("f1", "f2", "doc"), ["f1", "f2"]).where(F.col("doc") != F.col("doc_id"))
     edges = links.union(own.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
@@ -232,6 +239,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the members of a class other than its smallest doc_id; columns unchanged."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` without the members of a class other than its smallest doc_id, and without repeats; columns unchanged."""
+    gone, own = fresh(docs, "gone_id", "own_id")
+    id_ = F.col("doc_id").cast("long")
+    out = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(out, id_ == F.col(gone), "left_anti")
+    often = durable(docs.where(F.col("doc_id").isNotNull()).groupBy(id_.alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own))
+    if often.isEmpty():
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = left.join(often, id_ == F.col(own), "left_semi")
+    one = again.groupBy(F.col("doc_id"), F.xxhash64("text"), F.sha2("text", 256)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(own))
+    return left.join(often, id_ == F.col(own), "left_anti").unionByName(one.select(f"{own}.*"))

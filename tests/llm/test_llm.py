@@ -272,7 +272,15 @@ def test_decontamination_in_shards(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     whole = rows(decontamination.matches(docs, bench))
     monkeypatch.setattr(decontamination, "SHARD_CHARS", 1500)
-    assert len(decontamination.shards(bench)) > 2 and rows(decontamination.matches(docs, bench)) == whole
+    assert decontamination.items_of(bench)[1] > 2 and rows(decontamination.matches(docs, bench)) == whole
+
+
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "nothing here"), (2, "oh, no!"), (3, "no"), (4, "anno no"), (5, "canto")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "No."), (2, "can to"), (1, "oh")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["end"]) for r in decontamination.matches(docs, items).collect())
+    assert [x[:2] for x in got] == [(2, 1), (3, 1), (4, 1)] and got[2][2] == 7
+    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()) == [1, 5]
 
 
 # conversations
@@ -464,9 +472,10 @@ def brute_components(texts, n):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("tile", [2000, 5])
-def test_near_duplicates_by_brute_force(spark, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "hashes"), [(2000, 4_000_000), (5, 4_000_000), (2000, 300)])
+def test_near_duplicates_by_brute_force(spark, tile, hashes, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE", tile)
+    monkeypatch.setattr(near_dup, "TILE_HASHES", hashes)
     rng = random.Random(11)
     texts = []
     for g in range(12):
@@ -484,8 +493,20 @@ def test_near_duplicates_by_brute_force(spark, tile, monkeypatch):
 def test_near_duplicate_edges(edge, none):
     got = near_dup.near_duplicates(edge)
     assert got.count() == len(EDGE) and near_dup.near_duplicates(none).count() == 0
+    classes = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()}
+    assert classes[1] == classes[1][:1] + (1, True) and classes[1][0] == classes[2][0] == classes[3][0] == 0
+    assert classes[4] == (1, 4, True) and classes[5][0] == 20_000 - 4 and classes[None] == (2, None, True)
     kept = near_dup.keep_one(edge)
-    assert kept.columns == edge.columns and kept.count() == len(EDGE)
+    assert kept.columns == edge.columns and kept.count() == len(EDGE) - 1  # the repeated row stays once
+
+
+def test_near_duplicate_repeats(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    made = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (3, b, "x"), (3, b + " more", "x"), (None, b, "z"), (None, b, "z")]
+    df = spark.createDataFrame(made, "doc_id long, text string, gone_id string").withColumn("own_id", F.lit(1)).withColumn("component", F.lit(2))
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] == b + " more") for r in kept.collect()) == [(0, False), (0, False), (1, False), (3, False), (3, True)]
 
 
 # urls
