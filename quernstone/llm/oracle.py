@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from quernstone.llm import license_scans as lic
 from quernstone.llm import quality_rules as q
 from quernstone.llm import url_filters as url
@@ -65,26 +67,40 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def _rank(name: str, a: str, b: str, verdict: str) -> str:
+    """CTEs of one propagation over e(a, b, links) from p(host, own, n): the seeds' mass after k steps, summed over k."""
+    steps = math.ceil(math.log(url.TOLERANCE) / math.log(url.DAMPING)) + url.STRIDE
+    return f"""{name}e AS (SELECT {a} AS a, {b} AS b, links / sum(links) OVER (PARTITION BY {a}) AS share FROM e),
+{name}k(k, host, mass) AS (SELECT 0, host, n / sum(n) OVER () FROM (SELECT host, sum(n) AS n FROM p WHERE own = '{verdict}' GROUP BY host)
+  UNION ALL SELECT k + 1, b, sum({url.DAMPING} * share * mass) FROM {name}k JOIN {name}e ON a = host WHERE k < {steps} GROUP BY k, b),
+{name} AS (SELECT host, round(sum({1 - url.DAMPING} * mass), {url.PLACES}) AS mass FROM {name}k GROUP BY host)"""
+
+
+VERDICT = f"CASE WHEN distrust > {url.THRESHOLD} * (trust + distrust) THEN 'block' ELSE 'allow' END"
+
+
 def _url() -> str:
     fits = [(h + p, v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(url.RULES, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {x[2]} THEN '{x[k]}'" for x in fits) + " END"
-
-    def rank(name: str, a: str, b: str, verdict: str) -> str:
-        out = f"{name}s AS (SELECT host, n / sum(n) OVER () AS mass FROM (SELECT host, count(*) AS n FROM p WHERE own = '{verdict}' GROUP BY host)),\n"
-        out += f"{name}e AS (SELECT {a} AS a, {b} AS b, links / sum(links) OVER (PARTITION BY {a}) AS share FROM e),\n{name}0 AS (SELECT * FROM {name}s),\n"
-        for k in range(1, url.ROUNDS + 1):
-            out += f"{name}{k} AS (SELECT host, sum(mass) AS mass FROM (SELECT host, {1 - url.DAMPING} * mass AS mass FROM {name}s UNION ALL SELECT b, {url.DAMPING} * share * mass FROM {name}e JOIN {name}{k - 1} ON a = host) GROUP BY host),\n"
-        return out
-
-    last = url.ROUNDS
     return f"""
-WITH l AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH RECURSIVE l AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-p AS (SELECT *, {case(0)} AS rule, {case(1)} AS own FROM l),
+p AS (SELECT *, 1 AS n, {case(0)} AS rule, {case(1)} AS own FROM l),
 e AS (SELECT a, b, count(*) AS links FROM (SELECT host AS a, translate(unnest(regexp_extract_all(coalesce(html, ''), '{url.LINK.replace("'", "''")}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM l WHERE host <> '') WHERE a <> b GROUP BY ALL),
-{rank("t", "a", "b", "allow")}{rank("x", "b", "a", "block")}
-v AS (SELECT p.*, round(coalesce(t{last}.mass, 0), 12) AS trust, round(coalesce(x{last}.mass, 0), 12) AS distrust FROM p LEFT JOIN t{last} ON p.host = t{last}.host LEFT JOIN x{last} ON p.host = x{last}.host)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust > {url.THRESHOLD} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM v
+{_rank("t", "a", "b", "allow")}, {_rank("x", "b", "a", "block")},
+v AS (SELECT p.*, coalesce(t.mass, 0) AS trust, coalesce(x.mass, 0) AS distrust FROM p LEFT JOIN t ON p.host = t.host LEFT JOIN x ON p.host = x.host)
+SELECT page_id, host, path, rule, coalesce(own, {VERDICT}) AS verdict, trust, distrust FROM v
+"""
+
+
+TRADE = f"""
+WITH RECURSIVE s AS (SELECT 'nation' || c_nationkey AS a, 'nation' || s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+e AS (SELECT a, b, count(*) AS links FROM s WHERE a <> b GROUP BY ALL),
+p AS (SELECT 'nation' || c_nationkey AS host, 'allow' AS own, 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+  UNION ALL SELECT 'nation' || s_nationkey, 'block', 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1),
+{_rank("t", "a", "b", "allow")}, {_rank("x", "b", "a", "block")},
+v AS (SELECT host, coalesce(t.mass, 0.0) AS trust, coalesce(x.mass, 0.0) AS distrust FROM t FULL JOIN x USING (host))
+SELECT host, trust, distrust, {VERDICT} AS verdict FROM v
 """
 
 
@@ -100,4 +116,4 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(length(chat) AS BIGINT) AS n_
 """
 
 
-SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op6_chat_formatting": CHAT, "op10_url_filters": _url()}
+SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op6_chat_formatting": CHAT, "op10_url_filters": _url(), "host_rank_over_trade": TRADE}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, chat_formatting, decontamination, license_scans, near_dup, oracle, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from quernstone.plans.durable import durable
 from quernstone.sources.tables import table
 
 
@@ -57,8 +58,25 @@ def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
     return url_filters.judge(table(spark, base, "pages"))
 
 
+def host_rank_over_trade(spark: SparkSession, base: str) -> DataFrame:
+    """The propagation of op10 over a dense graph that the tables hold: nations as hosts, orders from a customer's nation to a
+    supplier's as links, trusted seeds the customers of region 0, blocked ones the suppliers of region 1."""
+    nation = table(spark, base, "nation").select("n_nationkey", "n_regionkey")
+    buyer = table(spark, base, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a"))
+    seller = table(spark, base, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b"))
+    lines = table(spark, base, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    sold = lines.join(table(spark, base, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").join(buyer, "o_custkey").join(seller, "l_suppkey")
+    host = lambda c: F.concat(F.lit("nation"), F.col(c).cast("string"))
+    edges = durable(sold.where("a <> b").groupBy(host("a").alias("a"), host("b").alias("b")).agg(F.count("*").alias("links")))
+    seeds = lambda rows, key, region, own: (
+        rows.join(nation.where(F.col("n_regionkey") == region), F.col(key) == F.col("n_nationkey")).groupBy(host(key).alias("host")).agg(F.count("*").alias("n")).withColumn("own", F.lit(own))
+    )
+    ruled = durable(seeds(buyer, "a", 0, "allow").unionByName(seeds(seller, "b", 1, "block")))
+    return url_filters.host_scores(edges, ruled).withColumn("verdict", url_filters.host_verdict())
+
+
 def queries() -> dict:
-    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op7_secret_scans, op8_bpe, op9_minhash_near_dup, op10_url_filters]
+    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op7_secret_scans, op8_bpe, op9_minhash_near_dup, op10_url_filters, host_rank_over_trade]
     return {f.__name__: f for f in found}
 
 

@@ -11,11 +11,12 @@ more than its distinct edges. Page rows meet host verdicts in a size-checked bro
 
 Defined results: null url or a url without "://" has empty host and path, fits no rule and is allowed; null
 html has no links; links of a page to its own host are ignored; repeated pages count as often as they
-occur; an empty table gives an empty table; further columns are ignored.
+occur; urls and pages may be of any length; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,10 @@ RULES = [
 ]
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-9  # total mass that a further round may still move
+STRIDE = 3  # rounds between two writes
 THRESHOLD = 0.5
+PLACES = 6
 
 
 def located(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -60,22 +63,28 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return arcs.groupBy("a", "b").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, mass): personalised PageRank over (a, b, links) from ``seeds`` (host, mass summing to 1).
 
-    Mass at hosts without links leaves the graph. Each third round is written to the shared folder.
+    Mass at hosts without links leaves the graph. Rounds go on until ranks move by no more than ``tolerance`` in all; as each
+    round moves at most ``damping`` of the mass before it, log(tolerance) / log(damping) rounds are enough for any graph.
+    Each third round is written to the shared folder and compared with the one written before.
     """
     out = edges.groupBy("a").agg(F.sum("links").alias("total"))
     share = durable(edges.join(out, "a").select("a", "b", (F.col("links") / F.col("total")).alias("share")))
-    base = seeds.select("host", ((1 - damping) * F.col("mass")).alias("mass"))
+    base = durable(seeds.select("host", ((1 - damping) * F.col("mass")).alias("mass")))
     if share.isEmpty():  # nothing moves: the fixed point is the seeds' own share
         return base
-    rank = seeds
-    for k in range(rounds):
+    rank = last = base
+    for k in range(1, math.ceil(math.log(tolerance) / math.log(damping)) + STRIDE):
         moved = share.join(rank, F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.col("share") * F.col("mass")).alias("mass"))
         rank = base.union(moved.select("b", damping * F.col("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 3 == 2:
+        if k % STRIDE == 0:
             rank = durable(rank)
+            apart = rank.join(last.select("host", F.col("mass").alias("old")), "host", "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))))
+            if (apart.first()[0] or 0.0) <= tolerance:
+                break
+            last = rank
     return rank
 
 
@@ -85,18 +94,23 @@ def _seeds(ruled: DataFrame, verdict: str) -> DataFrame:
     return join_small(own.withColumn("k", F.lit(0)), total, ["k"]).select("host", (F.col("n") / F.col("total")).alias("mass"))
 
 
+def host_scores(edges: DataFrame, ruled: DataFrame) -> DataFrame:
+    """host, trust, distrust: both propagations from ``ruled`` (host, own: allow or block, n: its weight)."""
+    trust = propagate(edges, durable(_seeds(ruled, "allow"))).select("host", F.round("mass", PLACES).alias("trust"))
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "links")
+    distrust = propagate(back, durable(_seeds(ruled, "block"))).select("host", F.round("mass", PLACES).alias("distrust"))
+    return reduce(lambda x, y: x.join(y, "host", "full"), [trust, distrust]).na.fill(0.0)
+
+
+def host_verdict() -> Column:
+    return F.when(F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages``."""
     at = located(pages.select("page_id", "url", "html")).withColumn("r", rule_of(rules))
     edges = durable(host_edges(at))
     slim = at.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("own"))
     ruled = durable(slim.where(F.col("own").isNotNull()).groupBy("host", "own").agg(F.count("*").alias("n")))
-    trust = propagate(edges, durable(_seeds(ruled, "allow"))).select("host", F.round("mass", 12).alias("trust"))
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "links")
-    distrust = propagate(back, durable(_seeds(ruled, "block"))).select("host", F.round("mass", 12).alias("distrust"))
-    hosts = durable(reduce(lambda x, y: x.join(y, "host", "full"), [trust, distrust]).na.fill(0.0))
-    bad = F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust"))
-    scored = join_small(slim, hosts, ["host"]).na.fill(0.0, ["trust", "distrust"])
-    return scored.select(
-        "page_id", "host", "path", "rule", F.coalesce("own", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust"
-    )
+    scored = join_small(slim, durable(host_scores(edges, ruled)), ["host"]).na.fill(0.0, ["trust", "distrust"])
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("own", host_verdict()).alias("verdict"), "trust", "distrust")

@@ -527,6 +527,33 @@ def test_url_rules_and_propagation(spark):
     assert url_filters.judge(df).count() == 10 and url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_propagation_equals_a_dense_power_iteration(spark):
+    """300 hosts, random weighted links with dangling hosts and a chain longer than any fixed number of rounds."""
+    import numpy as np
+
+    rng = random.Random(12)
+    n = 300
+    links = {(rng.randrange(n - 60), rng.randrange(n)): rng.randint(1, 5) for _ in range(1200)}
+    links |= {(i, i + 1): 1 for i in range(n - 61, n - 1)}
+    links = {k: v for k, v in links.items() if k[0] != k[1]}
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", v) for (a, b), v in links.items()], "a string, b string, links long")
+    m, seed = np.zeros((n, n)), np.zeros(n)
+    for (a, b), v in links.items():
+        m[b, a] = v
+    m /= np.maximum(m.sum(axis=0), 1)
+    seed[[1, 2]] = 0.75, 0.25
+    want = np.linalg.solve(np.eye(n) - url_filters.DAMPING * m, (1 - url_filters.DAMPING) * seed)
+    seeds = spark.createDataFrame([("h1", 0.75), ("h2", 0.25)], "host string, mass double")
+    got = {r["host"]: r["mass"] for r in url_filters.propagate(edges, seeds).collect()}
+    assert all(abs(got.get(f"h{i}", 0.0) - want[i]) < 1e-8 for i in range(n)) and sum(x > 1e-9 for x in want) > 200
+
+
+def test_very_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "net/es/" + "x" * 200_000 + "?q", "<a href='//" + "b" * 100_000 + ".org/'>"), (1, "x" * 500_000, None)], "page_id long, url string, html string")
+    got = sorted((r["rule"] or "", r["verdict"], len(r["host"]), len(r["path"])) for r in url_filters.judge(df).collect())
+    assert got == [("", "allow", 0, 0), ("net/es/", "block", 100_003, 200_004)]
+
+
 # pipeline
 
 
