@@ -12,10 +12,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: the session's spark.checkpoint.dir; where that is unset (a local
-    session, as in tests) a temporary folder of this machine is set for the context."""
+    """The folder every executor sees: the session's spark.checkpoint.dir. Where that is unset, a local session (as in
+    tests) gets a temporary folder of this machine; on a cluster, whose executors would not see it, this raises."""
     where = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
