@@ -15,6 +15,7 @@ BANDS = [
     ("coarse", "8-30", 8, 30),
 ]
 #: Fixed values: (label, days): "the last n days".
+MAX_VALUES = 1000
 SNAPSHOTS = [("last_3", 3), ("last_7", 7), ("last_14", 14), ("last_30", 30)]
 
 
@@ -47,15 +48,21 @@ def cumulative(df: DataFrame, lag: str) -> DataFrame:
 def zero_filled(df: DataFrame, dims: dict[str, DataFrame], counts: dict[str, Column]) -> DataFrame:
     """Counts on the full grid of the dimensions' values; unseen cells are 0, never null.
 
-    ``dims`` are tables of distinct values, each small; the grid is their product, made by exploding
-    constant-key joins of small tables before the counts are joined.
+    ``dims`` are tables of distinct values. The grid is their product by definition; each factor's values are counted first
+    and go to the tasks as a constant array to explode, up to MAX_VALUES of them; a larger dimension is refused.
     """
     keys = list(dims)
     seen = df.groupBy(*keys).agg(*[c.alias(k) for k, c in counts.items()])
     grid = None
     for key, values in dims.items():
         values = values.select(key).distinct()
-        grid = values if grid is None else grid.join(F.broadcast(values))
+        if grid is None:
+            grid = values
+            continue
+        found = [r[0] for r in values.limit(MAX_VALUES + 1).collect()]
+        if len(found) > MAX_VALUES:
+            raise ValueError(f"{key} has more than {MAX_VALUES} values; a grid over it is not a report")
+        grid = grid.withColumn(key, F.explode(F.array(*[F.lit(v) for v in found]).cast(f"array<{df.schema[key].dataType.simpleString()}>")))
     return grid.join(seen, keys, "left").na.fill(0, list(counts))
 
 

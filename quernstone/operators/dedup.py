@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions import text as t
+from quernstone.plans.durable import durable
 
 #: Thresholds of the near-duplicate classes.
 MIN_WORDS, BUCKET, SHARED = 80, (2, 50), 6
@@ -44,26 +45,41 @@ def exact_duplicates(art: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(art: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """(a, b, shared): pairs whose sketches share SHARED hashes, from buckets of BUCKET documents.
+def features(art: DataFrame) -> DataFrame:
+    """doc_id, rep, s (shingles), tt (title tokens), words: every article once, written, as shingling is the costly part.
+    rep is the smallest doc_id of an equal body; only representatives are paired, the others are members of theirs."""
+    f = art.select(
+        "doc_id", F.sha2("body", 256).alias("h"), t.shingles(t.tokens(F.col("body"))).alias("s"), t.informative(t.tokens(F.col("title"))).alias("tt"),
+        F.size(F.filter(F.split("body", r"\s+"), lambda x: x != "")).alias("words"),
+    )
+    f = durable(f)
+    rep = f.groupBy("h").agg(F.min("doc_id").alias("rep"))
+    return durable(f.join(rep, "h").drop("h"))
+
+
+def members(f: DataFrame) -> DataFrame:
+    """(a, b): representatives with the copies that they stand for, where bodies are long enough to link."""
+    return f.where((F.col("rep") != F.col("doc_id")) & (F.size("s") > 0) & (F.col("words") >= MIN_WORDS)).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    The bucket bound is applied to posting counts before the self join, which keeps the join linear.
+
+def candidate_pairs(f: DataFrame, bucket: tuple[int, int] = BUCKET) -> DataFrame:
+    """(a, b, shared): pairs of representatives whose sketches share SHARED hashes that stand in ``bucket`` representatives.
+
+    The bound is applied to posting counts before the self join, which keeps the join linear. Copies of one body
+    count once, so a family of equal bodies of any size is found through its representative.
     """
-    posts = art.select(F.col(id_).alias("id"), F.explode(t.sketch(t.shingles(t.tokens(F.col("body"))))).alias("h"))
-    sizes = posts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n").between(*BUCKET))
+    own = f.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.explode(t.sketch(F.col("s"))).alias("h"))
+    posts = durable(own.select("id", F.conv("h", 16, -10).cast("long").alias("h")))
+    sizes = posts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n").between(*bucket))
     kept = posts.join(sizes, "h").select("id", "h")
     pairs = kept.select(F.col("id").alias("a"), "h").join(kept.select(F.col("id").alias("b"), "h"), "h").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
 
 
-def pair_scores(pairs: DataFrame, art: DataFrame) -> DataFrame:
-    """jaccard, containment, title_sim, length_ratio, words_a, words_b for each pair."""
-    f = art.select(
-        "doc_id", t.shingles(t.tokens(F.col("body"))).alias("s"), t.informative(t.tokens(F.col("title"))).alias("tt"),
-        F.size(F.filter(F.split("body", r"\s+"), lambda x: x != "")).alias("w"),
-    )
-    x = pairs.join(f.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("tt").alias("ta"), F.col("w").alias("words_a")), "a")
-    x = x.join(f.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"), F.col("tt").alias("tb"), F.col("w").alias("words_b")), "b")
+def pair_scores(pairs: DataFrame, f: DataFrame) -> DataFrame:
+    """jaccard, containment, title_sim, length_ratio, words_a, words_b for each pair of ``features``."""
+    x = pairs.join(f.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("tt").alias("ta"), F.col("words").alias("words_a")), "a")
+    x = x.join(f.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"), F.col("tt").alias("tb"), F.col("words").alias("words_b")), "b")
     x = x.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("ti", F.size(F.array_intersect("ta", "tb")))
     one = lambda c: F.greatest(c, F.lit(1))
     return x.select(
@@ -92,16 +108,18 @@ LINKING = ["partial_full_text_match", "high_confidence_near_duplicate", "probabl
 
 
 def sequence_ratio(pairs: DataFrame, art: DataFrame, first: int = 2000) -> DataFrame:
-    """Matching-blocks ratio of the bodies' first characters (the measure's own bound), in Arrow batches."""
-    b = art.select("doc_id", F.substring("body", 1, first).alias("t"))
+    """seq_ratio: the matching-blocks ratio of the whole bodies, word by word; head_ratio: that of their first ``first``
+    characters, which is the measure's customary form. In Arrow batches of pairs."""
+    b = art.select("doc_id", F.col("body").alias("t"))
     x = pairs.select("a", "b").join(b.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(b.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 4)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            r = [round(difflib.SequenceMatcher(None, a, b).ratio(), 4) for a, b in zip(p["ta"], p["tb"], strict=True)]
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "seq_ratio": r})
+            both = list(zip(p["ta"], p["tb"], strict=True))
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "seq_ratio": [ratio(a.split(), b.split()) for a, b in both], "head_ratio": [ratio(a[:first], b[:first]) for a, b in both]})
 
-    return x.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, seq_ratio double")
+    return x.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, seq_ratio double, head_ratio double")
 
 
 def dispositions(edges: DataFrame) -> DataFrame:

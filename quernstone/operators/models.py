@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.plans.durable import durable
+
 
 def logistic_newton(df: DataFrame, columns: list[str], y: str, ridge: float = 1e-3, steps: int = 12, tolerance: float = 1e-9) -> dict[str, float]:
     """Logistic regression by Newton steps: each step is one aggregation of gradient and Hessian sums."""
@@ -51,16 +53,23 @@ def calibrate_to_seats(df: DataFrame, keys: list[str], logit: str, seats: Column
     return df.join(shift, keys).withColumn("p", 1 / (1 + F.exp(-(F.col(logit) + F.col("shift")))))
 
 
-def points_in_polygons(points: DataFrame, x: str, y: str, edges: DataFrame) -> DataFrame:
-    """(point columns, area): the areas whose outline a ray from the point crosses an odd number of times.
+def points_in_polygons(points: DataFrame, x: str, y: str, edges: DataFrame, cell: float) -> DataFrame:
+    """``points`` with area and n_areas: the area whose outline a ray from the point crosses an odd number of times,
+    null unless exactly one does; n_areas tells none, one and several apart. Repeated and null points each keep their row.
 
-    ``edges``: area, x1, y1, x2, y2 of every outline; a fixed, small table. A point in none gets null.
+    ``edges``: area, x1, y1, x2, y2 of every outline. Points and edges meet by horizontal strips of height ``cell``, an equi-join
+    of each point with the few edges of its strip.
     """
+    rows = durable(points.withColumn("id_", F.monotonically_increasing_id()))
+    strip = lambda c: F.floor(c / cell)
+    cut_up = edges.withColumn("strip_", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
     up = (F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))
     cut = F.col("x1") + (F.col(y) - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
-    crossed = points.join(F.broadcast(edges), up & (F.col(x) < cut))
-    inside = crossed.groupBy(*points.columns, "area").agg((F.count("*") % 2).alias("odd")).where("odd = 1").drop("odd")
-    return points.join(inside, points.columns, "left")
+    crossed = rows.select("id_", x, y, strip(F.col(y)).alias("strip_")).join(cut_up, "strip_").where(up & (F.col(x) < cut))
+    inside = crossed.groupBy("id_", "area").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    found = inside.groupBy("id_").agg(F.count("*").alias("n_areas"), F.max("area").alias("area"))
+    out = rows.join(found, "id_", "left").withColumn("n_areas", F.coalesce("n_areas", F.lit(0)))
+    return out.select(*points.columns, F.when(F.col("n_areas") == 1, F.col("area")).alias("area"), "n_areas")
 
 
 def select_architecture(scores: DataFrame, model: str, fold: str, n: str, error: str, base: str, margin: float, max_adverse: int) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions.text import let
+from quernstone.plans.durable import durable, join_small
 
 
 def error_suite(df: DataFrame, predicted: str, observed: str, grains: dict[str, list[str]], places: int = 6) -> DataFrame:
-    """MAE, RMSE, bias, median error and relative MAE at several grains in one grouping-sets pass."""
-    e = df.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull()).withColumn("__e", F.col(predicted) - F.col(observed))
+    """MAE, RMSE, bias, median error and relative MAE at several grains: one grouping-sets pass, and exact medians beside it."""
+    e = durable(df.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull()).withColumn("__e", F.col(predicted) - F.col(observed)))
     keys = sorted({k for g in grains.values() for k in g})
     r = lambda c, name: F.round(c, places).alias(name)
     out = e.groupingSets([[F.col(k) for k in g] for g in grains.values()], *keys).agg(
@@ -21,12 +22,23 @@ def error_suite(df: DataFrame, predicted: str, observed: str, grains: dict[str,
         r(F.avg(F.abs("__e")), "mae"),
         r(F.sqrt(F.avg(F.col("__e") * F.col("__e"))), "rmse"),
         (F.round(F.avg("__e"), places) + 0.0).alias("bias"),  # no negative zero
-        r(F.median(F.abs("__e")), "median_ae"),
         r(F.avg(F.abs("__e")) / F.nullif(F.avg(observed), F.lit(0.0)), "relative_mae"),
     )
     ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in g): name for name, g in grains.items()}
     grain = F.coalesce(*[F.when(F.col("__g") == i, name) for i, name in ids.items()])
-    return out.withColumn("grain", grain).drop("__g")
+    out = out.withColumn("grain", grain).drop("__g")
+    size = e.withColumn("__a", F.abs("__e"))
+    parts = [
+        exact_median(size, g, "__a", "m_").select(F.lit(name).alias("g_"), F.round("m_", places).alias("median_ae"), *[(F.col(k) if k in g else F.lit(None).cast(df.schema[k].dataType)).alias(f"{k}_") for k in keys])
+        for name, g in grains.items()
+    ]
+    medians = parts[0]
+    for part in parts[1:]:
+        medians = medians.union(part)
+    same = F.col("grain") == F.col("g_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return out.join(medians, same).drop("g_", *[f"{k}_" for k in keys])
 
 
 def agreement(df: DataFrame, a: str, b: str, places: int = 6) -> DataFrame:
@@ -115,21 +127,71 @@ def ridge(df: DataFrame, columns: list[str], y: str, penalty: float) -> dict[str
 
 #: The cumulative Poisson(1) probabilities that ``draws`` cuts at.
 POISSON_CUTS = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
+PRIME = 2_147_483_647
+
+
+def _fifth(x: Column) -> Column:
+    """x^5 modulo PRIME, a permutation of its residues; all products stay below 2^62."""
+    return let(x, lambda v: let(v * v % PRIME, lambda q: q * q % PRIME * v % PRIME))
 
 
 def draws(contests: DataFrame, key: str, replicates: int) -> DataFrame:
-    """(replicate, key, times): a cluster bootstrap's multiplicities by hash, reproducible anywhere.
+    """``contests`` times replicates (replicate, times > 0): a cluster bootstrap's multiplicities, reproducible in any engine.
+
+    Poisson(1) resampling: each contest draws its own count from integer arithmetic on (key, replicate), so replicates
+    need no positions, no totals, no join and no shuffle, and a contest carries its values into its own draws.
+    """
+    own = _fifth(F.pmod(F.col(key).cast("long") * 48271 + 11, F.lit(PRIME)))
+    spread = contests.withColumn("own_", own).repartition(contests.sparkSession.sparkContext.defaultParallelism, key)  # before it fans out
+    drawn = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    t = _fifth((F.col("own_") * 16807 + _fifth((F.col("replicate") + 1) * 69621 % PRIME) * 39373) % PRIME)
+    times = let(t, lambda v: sum((F.when(v >= int(c * PRIME), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0)))
+    return drawn.withColumn("times", times.cast("long")).where("times > 0").drop("own_")
+
 
-    Poisson(1) resampling: each contest draws its own count from sha256(key, replicate), so replicates
-    need no positions, no totals and no shuffle.
+def draws_sql(source: str, key: str, replicates: int, columns: str) -> str:
+    """The CTEs of ``draws`` over ``source``; the last is dr."""
+    fifth = lambda x: f"(({x}) * ({x}) % {PRIME}) * (({x}) * ({x}) % {PRIME}) % {PRIME} * ({x}) % {PRIME}"
+    times = " + ".join(f"CASE WHEN v >= {int(c * PRIME)} THEN 1 ELSE 0 END" for c in POISSON_CUTS)
+    return f"""dk AS (SELECT *, {fifth("o")} AS own FROM (SELECT *, (CAST({key} AS BIGINT) * 48271 + 11) % {PRIME} AS o FROM {source})),
+dp AS (SELECT replicate, {fifth("o")} AS rep FROM (SELECT replicate, (replicate + 1) * 69621 % {PRIME} AS o FROM (SELECT unnest(range({replicates})) AS replicate))),
+dx AS (SELECT {key}, {columns}, replicate, (own * 16807 + rep * 39373) % {PRIME} AS w FROM dk, dp),
+dr AS (SELECT {key}, {columns}, replicate, {times} AS times FROM (SELECT *, {fifth("w")} AS v FROM dx) WHERE v >= {int(POISSON_CUTS[0] * PRIME)})"""
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out), or one row (out): the exact median of the non-null values, without a task that holds a group.
+
+    Counts of distinct values are dealt by range; running counts go within the ranges and are shifted by the counts of the ranges before.
+    """
+    by = keys or ["one_"]
+    rows = df if keys else df.withColumn("one_", F.lit(0))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
+    parts = durable(counted.repartitionByRange(*by, value).withColumn("part_", F.spark_partition_id()))
+    sums = durable(parts.groupBy(*by, "part_").agg(F.sum("n_").alias("s_")))
+    w = Window.partitionBy(*by).orderBy("part_")
+    before = sums.select(*by, "part_", (F.sum("s_").over(w) - F.col("s_")).alias("before_"), F.sum("s_").over(Window.partitionBy(*by)).alias("all_"))
+    run = Window.partitionBy(*by, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = join_small(parts.withColumn("upto_", F.sum("n_").over(run)), durable(before), [*by, "part_"]).withColumn("upto_", F.col("upto_") + F.col("before_"))
+    reach = lambda k: F.min(F.when(F.col("upto_") >= k, F.col(value)))
+    middle = (reach(F.floor((F.col("all_") + 1) / 2)) + reach(F.floor(F.col("all_") / 2) + 1)) / 2
+    return at.groupBy(*by).agg(middle.alias(out)).select(*keys, out)
+
+
+def quota_by_hash(df: DataFrame, quotas: DataFrame, stratum: str, key: str, slices: int = 64) -> DataFrame:
+    """The first ``quota`` rows of each stratum (quotas: stratum, quota) in sha256 order of the key, with their place.
+
+    A stratum is cut into slices of its hash range, counted first; only slices that the quota reaches are ranked, each
+    in a task of its own, so a stratum with a third of all rows is not sorted as a whole.
     """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    spread = contests.select(key).distinct().repartition(contests.sparkSession.sparkContext.defaultParallelism, key)  # before it fans out
-    drawn = spread.select(key, rep.alias("replicate"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("replicate").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cuts = F.array(*map(F.lit, POISSON_CUTS))
-    times = let(u, lambda v: F.size(F.filter(cuts, lambda c: v >= c)).cast("long"))  # one hash per row, wherever a filter on it is pushed
-    return drawn.select(key, "replicate", times.alias("times"))
+    h = F.sha2(F.col(key).cast("string"), 256)
+    sliced = df.withColumn("h_", h).withColumn("slice_", F.floor(F.conv(F.substring("h_", 1, 8), 16, 10).cast("double") / 4294967296.0 * slices).cast("int"))
+    sizes = durable(sliced.groupBy(stratum, "slice_").agg(F.count("*").alias("n_")))
+    w = Window.partitionBy(stratum).orderBy("slice_")
+    wanted = sizes.withColumn("before_", F.sum("n_").over(w) - F.col("n_")).join(quotas, stratum).where("before_ < quota").select(stratum, "slice_", "before_", "quota")
+    ranked = join_small(sliced, durable(wanted), [stratum, "slice_"], "inner")
+    place = F.row_number().over(Window.partitionBy(stratum, "slice_").orderBy("h_", key)) + F.col("before_")
+    return ranked.withColumn("place", place.cast("long")).where("place <= quota").drop("h_", "slice_", "before_")
 
 
 def largest_remainder(groups: DataFrame, key: str, size: str, seats: int) -> DataFrame:

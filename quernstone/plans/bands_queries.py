@@ -45,14 +45,14 @@ def compare_schemes(spark, base):
 
 
 def _grid(spark, base):
-    e = events(spark, base).withColumn("band", b.band_of(F.col("lag"), "standard")).where("k % 3 = 0 AND NOT (election = 2 AND event_type = 'error')")
+    e = events(spark, base).withColumn("band", b.band_of(F.col("lag"), "standard"))
     labels = spark.createDataFrame([(x[1],) for x in b.BANDS if x[0] == "standard"], "band string")
     counts = {"n": F.count("*"), "loud": F.count(F.when(F.col("value") > 10, 1))}
     all_rows = events(spark, base)
     return b.zero_filled(e, {"election": all_rows.select("election"), "event_type": all_rows.select("event_type"), "band": labels}, counts)
 
 
-GRID_SQL = f"""{BASE_SQL}, f AS (SELECT *, {_case('standard')} AS band FROM e WHERE k % 3 = 0 AND NOT (election = 2 AND event_type = 'error')),
+GRID_SQL = f"""{BASE_SQL}, f AS (SELECT *, {_case('standard')} AS band FROM e),
 g AS (SELECT * FROM (SELECT DISTINCT election FROM e) CROSS JOIN (SELECT DISTINCT event_type FROM e) CROSS JOIN (VALUES {', '.join(f"('{x[1]}')" for x in b.BANDS if x[0] == 'standard')}) AS v(band)),
 grid AS (SELECT g.*, count(f.event_id) AS n, count(*) FILTER (f.value > 10) AS loud FROM g LEFT JOIN f ON g.election = f.election AND g.event_type = f.event_type AND g.band = f.band GROUP BY ALL)"""
 

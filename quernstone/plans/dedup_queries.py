@@ -20,15 +20,16 @@ ex AS (SELECT doc_id, source, h.body_hash, h.title_hash, CASE WHEN h.body_hash =
   FROM h LEFT JOIN pb ON h.body_hash = pb.body_hash LEFT JOIN pt ON h.title_hash = pt.title_hash)"""
 SH_SQL = f"""{ART_SQL}, tk AS MATERIALIZED (SELECT *, regexp_extract_all(lower(body), '[a-z0-9'']+') AS tk, regexp_extract_all(lower(title), '[a-z0-9'']+') AS tt, len(list_filter(regexp_split_to_array(body, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS w FROM art),
 sh AS MATERIALIZED (SELECT *, CASE WHEN len(tk) >= {t.SHINGLE_WORDS} THEN list_distinct(list_transform(range(1, len(tk) - {t.SHINGLE_WORDS - 2}), lambda i: substr(sha1(array_to_string(list_slice(tk, i, i + {t.SHINGLE_WORDS - 1}), ' ')), 1, 16))) ELSE [] END AS s,
-  list_distinct(list_filter(tt, lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(x) for x in t.STOP)}))) AS ti FROM tk)"""
-PAIR_SQL = f"""{SH_SQL}, po AS MATERIALIZED (SELECT doc_id, unnest(list_slice(list_sort(s), 1, {t.SKETCH_SIZE})) AS h FROM sh), bk AS (SELECT h FROM po GROUP BY h HAVING count(*) BETWEEN {d.BUCKET[0]} AND {d.BUCKET[1]}),
+  list_distinct(list_filter(tt, lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(x) for x in t.STOP)}))) AS ti, min(doc_id) OVER (PARTITION BY body) AS rep FROM tk)"""
+PAIR_SQL = f"""{SH_SQL}, po AS MATERIALIZED (SELECT doc_id, unnest(list_slice(list_sort(s), 1, {t.SKETCH_SIZE})) AS h FROM sh WHERE doc_id = rep), bk AS (SELECT h FROM po GROUP BY h HAVING count(*) BETWEEN {d.BUCKET[0]} AND {d.BUCKET[1]}),
 kp AS (SELECT doc_id, h FROM po JOIN bk USING (h)), pr AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM kp x JOIN kp y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= {d.SHARED})"""
 SCORE_SQL = f"""{PAIR_SQL}, i AS (SELECT a, b, shared, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS na, len(y.s) AS nb, len(list_intersect(x.ti, y.ti)) AS ti, len(x.ti) AS ta, len(y.ti) AS tb, x.w AS words_a, y.w AS words_b, x.source AS sa, y.source AS sb FROM pr JOIN sh x ON a = x.doc_id JOIN sh y ON b = y.doc_id),
 sc AS (SELECT a, b, shared, round(i / greatest(na + nb - i, 1), 4) AS jaccard, round(i / greatest(least(na, nb), 1), 4) AS containment, round(ti / greatest(ta + tb - ti, 1), 4) AS title_sim, round(least(words_a, words_b) / greatest(words_a, words_b, 1), 4) AS length_ratio, CAST(words_a AS BIGINT) AS words_a, CAST(words_b AS BIGINT) AS words_b, sa, sb FROM i),
 cl AS MATERIALIZED (SELECT *, CASE WHEN least(words_a, words_b) < {d.MIN_WORDS} AND containment >= {d.CONTAINED} THEN 'manual_review' WHEN least(words_a, words_b) < {d.MIN_WORDS} THEN 'not_near_duplicate' WHEN containment >= {d.CONTAINED} AND length_ratio <= {d.SHORTER} THEN 'partial_full_text_match'
   WHEN jaccard >= {d.HIGH} THEN 'high_confidence_near_duplicate' WHEN jaccard >= {d.PROBABLE} THEN 'probable_near_duplicate' WHEN jaccard >= {d.GREY} THEN 'manual_review' WHEN title_sim >= 0.5 THEN 'same_event_independent_reporting' ELSE 'not_near_duplicate' END AS class FROM sc)"""
 LINK_IN = ", ".join(f"'{x}'" for x in d.LINKING)
-COMP_SQL = f"""{SCORE_SQL}, ed AS (SELECT a, b FROM cl WHERE class IN ({LINK_IN}) UNION SELECT b, a FROM cl WHERE class IN ({LINK_IN})),
+COMP_SQL = f"""{SCORE_SQL}, mm AS (SELECT rep AS a, doc_id AS b FROM sh WHERE rep <> doc_id AND len(s) > 0 AND w >= {d.MIN_WORDS}),
+ed AS (SELECT a, b FROM cl WHERE class IN ({LINK_IN}) UNION SELECT b, a FROM cl WHERE class IN ({LINK_IN}) UNION SELECT a, b FROM mm UNION SELECT b, a FROM mm),
 rc(node, seen) AS (SELECT a, a FROM ed UNION SELECT rc.node, ed.b FROM rc JOIN ed ON rc.seen = ed.a), co AS (SELECT node, min(seen) AS component FROM rc GROUP BY node)"""
 
 
@@ -50,20 +51,20 @@ def shingle_sketch(spark, base):
 
 
 def candidate_pairs_blocking(spark, base):
-    return d.candidate_pairs(art(spark, base))
+    return d.candidate_pairs(d.features(art(spark, base)))
 
 
-def scored(spark, base):
-    a = art(spark, base)
-    return d.pair_scores(d.candidate_pairs(a), a)
+def scored(spark, base, f=None):
+    f = f or d.features(art(spark, base))
+    return d.pair_scores(d.candidate_pairs(f), f)
 
 
 def pair_scores_jaccard_containment(spark, base):
     return scored(spark, base)
 
 
-def classed(spark, base):
-    return scored(spark, base).withColumn("class", d.near_class())
+def classed(spark, base, f=None):
+    return scored(spark, base, f).withColumn("class", d.near_class())
 
 
 def near_dup_classes(spark, base):
@@ -71,7 +72,10 @@ def near_dup_classes(spark, base):
 
 
 def _components(spark, base):
-    return connected_components(classed(spark, base).where(F.col("class").isin(d.LINKING)))
+    """Components over the linking pairs of representatives and their members."""
+    f = d.features(art(spark, base))
+    pairs = classed(spark, base, f).where(F.col("class").isin(d.LINKING)).select("a", "b")
+    return connected_components(durable(pairs.union(d.members(f))))
 
 
 def near_dup_components(spark, base):
@@ -84,7 +88,7 @@ def cluster_sizes(spark, base):
 
 def pair_seq_ratio(spark, base):
     a = art(spark, base)
-    return d.sequence_ratio(d.candidate_pairs(a), a)
+    return d.sequence_ratio(d.candidate_pairs(d.features(a)), a)
 
 
 def edges(spark, base):
@@ -161,7 +165,7 @@ def mapping_layer(spark, base):
 def shared_long_paragraphs(spark, base):
     """Candidate pairs with the number and size of long paragraphs that stand in both."""
     a = art(spark, base).select("doc_id", F.array_distinct(F.filter(F.transform("paragraphs", F.trim), lambda p: F.length(p) >= 40)).alias("p"))
-    pairs = d.candidate_pairs(art(spark, base)).select("a", "b")
+    pairs = d.candidate_pairs(d.features(art(spark, base))).select("a", "b")
     x = pairs.join(a.select(F.col("doc_id").alias("a"), F.col("p").alias("pa")), "a").join(a.select(F.col("doc_id").alias("b"), F.col("p").alias("pb")), "b").withColumn("s", F.array_intersect("pa", "pb"))
     return x.select("a", "b", F.size("s").cast("long").alias("paragraphs"), F.aggregate("s", F.lit(0), lambda n, p: n + F.length(p)).cast("long").alias("chars"))
 
@@ -186,12 +190,13 @@ def version_pair_changes(spark, base):
     """Same-source near pairs: did title, numbers or quoted parts change, and how many paragraphs came and went."""
     a = art(spark, base)
     nums = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit("([0-9]+)"), F.lit(1))))
-    f = a.select("doc_id", "source", "title", nums.alias("n"), F.array_distinct(F.filter(F.transform("paragraphs", F.trim), lambda p: p != "")).alias("p"))
-    x = d.candidate_pairs(a).select("a", "b")
+    quotes = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit('("[^"]+")'), F.lit(1))))
+    f = a.select("doc_id", "source", "title", nums.alias("n"), quotes.alias("q"), F.array_distinct(F.filter(F.transform("paragraphs", F.trim), lambda p: p != "")).alias("p"))
+    x = d.candidate_pairs(d.features(a)).select("a", "b")
     for s in "ab":
         x = x.join(f.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in f.columns]), s)
     return x.where("source_a = source_b").select(
-        "a", "b", (F.col("title_a") != F.col("title_b")).alias("title_changed"), (F.col("n_a") != F.col("n_b")).alias("numbers_changed"),
+        "a", "b", (F.col("title_a") != F.col("title_b")).alias("title_changed"), (F.col("n_a") != F.col("n_b")).alias("numbers_changed"), (F.col("q_a") != F.col("q_b")).alias("quotes_changed"),
         F.size(F.array_except("p_b", "p_a")).cast("long").alias("added"), F.size(F.array_except("p_a", "p_b")).cast("long").alias("deleted"),
     )
 
@@ -224,6 +229,6 @@ FROM ex LEFT JOIN mb ON mb.id = ex.doc_id LEFT JOIN cn ON cn.family = mb.family"
     "shared_long_paragraphs": (shared_long_paragraphs, f"WITH {PAIR_SQL}, pg AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 40)) AS p FROM art), x AS (SELECT a, b, list_intersect(u.p, v.p) AS s FROM pr JOIN pg u ON a = u.doc_id JOIN pg v ON b = v.doc_id) SELECT a, b, CAST(len(s) AS BIGINT) AS paragraphs, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS chars FROM x"),
     "attribution_markers": (attribution_markers, f"WITH {ART_SQL}, m AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(body), '({MARKERS})', 1))) AS m FROM art) SELECT doc_id, array_to_string(m, ',') AS markers, CAST(len(m) AS BIGINT) AS n FROM m"),
     "cross_source_classes": (cross_source_classes, f"WITH {SCORE_SQL} SELECT CASE WHEN jaccard >= 0.7 THEN 'syndicated_copy' WHEN containment >= 0.5 THEN 'shared_release' ELSE 'independent' END AS kind, count(*) AS pairs FROM cl WHERE sa <> sb GROUP BY 1"),
-    "version_pair_changes": (version_pair_changes, f"WITH {PAIR_SQL}, f AS (SELECT doc_id, source, title, list_sort(list_distinct(regexp_extract_all(body, '[0-9]+'))) AS n, list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS p FROM art) SELECT a, b, u.title <> v.title AS title_changed, u.n <> v.n AS numbers_changed, CAST(len(list_filter(v.p, lambda x: NOT list_contains(u.p, x))) AS BIGINT) AS added, CAST(len(list_filter(u.p, lambda x: NOT list_contains(v.p, x))) AS BIGINT) AS deleted FROM pr JOIN f u ON a = u.doc_id JOIN f v ON b = v.doc_id WHERE u.source = v.source"),
+    "version_pair_changes": (version_pair_changes, f"WITH {PAIR_SQL}, f AS (SELECT doc_id, source, title, list_sort(list_distinct(regexp_extract_all(body, '[0-9]+'))) AS n, list_sort(list_distinct(regexp_extract_all(body, '\"[^\"]+\"'))) AS q, list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS p FROM art) SELECT a, b, u.title <> v.title AS title_changed, u.n <> v.n AS numbers_changed, u.q <> v.q AS quotes_changed, CAST(len(list_filter(v.p, lambda x: NOT list_contains(u.p, x))) AS BIGINT) AS added, CAST(len(list_filter(u.p, lambda x: NOT list_contains(v.p, x))) AS BIGINT) AS deleted FROM pr JOIN f u ON a = u.doc_id JOIN f v ON b = v.doc_id WHERE u.source = v.source"),
     "paragraph_frequency": (paragraph_frequency, f"WITH {ART_SQL}, p AS (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 20))) AS p FROM art), f AS (SELECT count(*) AS documents FROM p GROUP BY p) SELECT documents, count(*) AS paragraphs FROM f GROUP BY documents"),
 }

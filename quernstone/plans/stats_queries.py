@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quernstone.operators import stats as s
 from quernstone.plans.contest_queries import VOTES_SQL, votes
+from quernstone.plans.durable import durable, join_small
 from quernstone.sources.tables import table
 
 PRED_SQL = f"""{VOTES_SQL}, t AS (SELECT *, 100 * votes / sum(votes) OVER w AS observed, 100 * strength / sum(strength) OVER w AS predicted, count(*) OVER w AS size, contest % 4 AS election FROM votes WINDOW w AS (PARTITION BY contest))"""
@@ -84,16 +85,20 @@ def variance_split(spark, base):
     return s.variance_split(predictions(spark, base).withColumn("v", F.round("observed", 6)), "party", "v", 2)
 
 
+def with_party_mean(spark, base, of, name):
+    """Predictions with their party's mean, joined from an aggregate: a party with a third of all rows stays spread."""
+    p = durable(predictions(spark, base))
+    return join_small(p, durable(p.groupBy("party").agg(F.avg(of).alias(name))), ["party"])
+
+
 def bias_dispersion(spark, base):
-    e = predictions(spark, base).withColumn("e", F.col("predicted") - F.col("observed"))
-    w = Window.partitionBy("party")
-    d = e.withColumn("d", F.abs(F.col("e") - F.avg("e").over(w)))
-    return d.groupBy("party").agg(F.round(F.avg("e"), 5).alias("bias"), F.round(F.avg("d"), 5).alias("dispersion"))
+    e = with_party_mean(spark, base, F.col("predicted") - F.col("observed"), "bias")
+    d = F.abs(F.col("predicted") - F.col("observed") - F.col("bias"))
+    return e.groupBy("party").agg(F.round(F.max("bias"), 5).alias("bias"), F.round(F.avg(d), 5).alias("dispersion"))
 
 
 def demean_group(spark, base):
-    w = Window.partitionBy("party")
-    return predictions(spark, base).select("contest", "party", F.round(F.col("observed") - F.avg("observed").over(w), 5).alias("centred"))
+    return with_party_mean(spark, base, F.col("observed"), "m").select("contest", "party", F.round(F.col("observed") - F.col("m"), 5).alias("centred"))
 
 
 def residual_means(spark, base):
@@ -142,7 +147,7 @@ def weighted_reallocation(spark, base):
 
 def crosswalk_topology(spark, base):
     """One-to-one, one-to-many, many-to-one or many-to-many for each old and new area pair."""
-    p = table(spark, base, "customer").select("c_nationkey", (F.col("c_custkey") % 97 % 40).alias("target")).distinct().where("(c_nationkey * 7 + target) % 5 = 0")
+    p = table(spark, base, "customer").select("c_nationkey", (F.col("c_custkey") % 97 % 40).alias("target")).distinct()
     a = F.count(F.lit(1)).over(Window.partitionBy("c_nationkey"))
     b = F.count(F.lit(1)).over(Window.partitionBy("target"))
     kind = F.when((a == 1) & (b == 1), "one_to_one").when(b == 1, "one_to_many").when(a == 1, "many_to_one").otherwise("many_to_many")
@@ -162,8 +167,7 @@ def window_quota(spark, base):
     """A quota of max(1, round(n * share)) per language, filled in sha256 order."""
     d = table(spark, base, "documents").select("doc_id", "lang")
     n = d.groupBy("lang").agg(F.greatest(F.lit(1), F.round(F.count("*") * 0.07)).cast("long").alias("quota"))
-    w = Window.partitionBy("lang").orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id")
-    return d.withColumn("place", F.row_number().over(w).cast("long")).join(F.broadcast(n), "lang").where("place <= quota")
+    return s.quota_by_hash(d, n, "lang", "doc_id")
 
 
 def top_n_tiebreak(spark, base):
@@ -218,19 +222,17 @@ def loo_penalty(spark, base):
     return work.mapInPandas(fit, "fold int, penalty double, mse double").groupBy("penalty").agg(F.round(F.avg("mse"), 4).alias("mse"), F.count("*").alias("folds"))
 
 
-REPLICATES = 40
-REP_SQL = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in s.POISSON_CUTS)
-BOOT_SQL = f"""{PRED_SQL}, k AS (SELECT contest, sum(abs(predicted - observed)) AS a, sum(abs(100.0 / size - observed)) AS b, count(*) AS n FROM t GROUP BY contest),
-dr AS (SELECT contest, replicate, {REP_SQL} AS times FROM (SELECT contest, replicate, CAST('0x' || substr(sha256(contest || ':' || replicate), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM k, (SELECT unnest(range({REPLICATES})) AS replicate))),
-bs AS (SELECT replicate, sum(times * b) / sum(times * n) - sum(times * a) / sum(times * n) AS gain FROM dr JOIN k USING (contest) GROUP BY replicate)"""
+REPLICATES = 2000
+BOOT_SQL = f"""{PRED_SQL}, k AS (SELECT contest, any_value(election) AS election, sum(abs(predicted - observed)) AS a, sum(abs(100.0 / size - observed)) AS b, count(*) AS n FROM t GROUP BY contest),
+{s.draws_sql("k", "contest", REPLICATES, "election, a, b, n")},
+bs AS (SELECT replicate, sum(times * b) / sum(times * n) - sum(times * a) / sum(times * n) AS gain FROM dr GROUP BY replicate)"""
 
 
 def bootstrap_gains(spark, base):
     p = predictions(spark, base)
     k = p.groupBy("contest").agg(F.sum(F.abs(F.col("predicted") - F.col("observed"))).alias("a"), F.sum(F.abs(100 / F.col("size") - F.col("observed"))).alias("b"), F.count("*").alias("n"))
-    d = s.draws(k, "contest", REPLICATES).where("times > 0").join(k, "contest")
     m = lambda x: F.sum(F.col("times") * F.col(x)) / F.sum(F.col("times") * F.col("n"))
-    return d.groupBy("replicate").agg((m("b") - m("a")).alias("gain"))
+    return s.draws(k, "contest", REPLICATES).groupBy("replicate").agg((m("b") - m("a")).alias("gain"))
 
 
 def contest_bootstrap_ci(spark, base):
@@ -243,14 +245,14 @@ def paired_bootstrap(spark, base):
     """Share of replicates in which the prediction beats the equal split, per election."""
     p = predictions(spark, base)
     k = p.groupBy("election", "contest").agg(F.sum(F.abs(100 / F.col("size") - F.col("observed")) - F.abs(F.col("predicted") - F.col("observed"))).alias("d"))
-    x = s.draws(k, "contest", REPLICATES).join(k, "contest").groupBy("election", "replicate").agg(F.round(F.sum(F.col("times") * F.col("d")), 6).alias("d"))
+    x = s.draws(k, "contest", REPLICATES).groupBy("election", "replicate").agg(F.round(F.sum(F.col("times") * F.col("d")), 6).alias("d"))
     return x.groupBy("election").agg(F.count(F.when(F.col("d") > 0, 1)).alias("wins"), F.count("*").alias("replicates"))
 
 
 def encoder_median_onehot(spark, base):
     """Median imputation with a missing flag, one-hot with an unseen bucket, standardised by population spread."""
     o = table(spark, base, "customer").withColumn("x", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")))
-    fit = o.agg(F.median("x").alias("med"))
+    fit = s.exact_median(o, [], "x", "med")
     filled = o.join(F.broadcast(fit)).withColumn("f", F.coalesce("x", "med"))
     st = filled.agg(F.avg("f").alias("m"), F.stddev_pop("f").alias("sd"))
     known = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
@@ -298,7 +300,7 @@ SELECT CASE grouping_id(size, election, party) WHEN 7 THEN 'all' WHEN 3 THEN 'si
     "expected_calibration_error": (expected_calibration_error, f"WITH {RATER_SQL}, b AS (SELECT count(*) AS n, avg(p) AS mp, avg(quality) AS my FROM r GROUP BY least(floor(p * 10), 9)) SELECT round(sum(n * abs(mp - my)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b"),
     "logit_round_trip": (logit_round_trip, f"WITH {RATER_SQL}, q AS (SELECT doc_id, greatest(least(p, 0.999), 0.001) AS q FROM r) SELECT doc_id, round(ln(q / (1 - q)), 6) AS logit, round(1 / (1 + exp(-ln(q / (1 - q)))), 6) AS sigmoid FROM q"),
     "weighted_reallocation": (weighted_reallocation, "WITH c AS (SELECT *, c_custkey % 6 AS target FROM customer), w AS (SELECT c_nationkey, target, count(*) AS people FROM c GROUP BY ALL), s AS (SELECT *, people / sum(people) OVER (PARTITION BY c_nationkey) AS w FROM w), v AS (SELECT c_nationkey, sum(o_totalprice) AS value FROM orders JOIN c ON o_custkey = c_custkey GROUP BY 1) SELECT target, round(sum(w * value), 2) AS value, count(*) AS parts FROM s JOIN v USING (c_nationkey) GROUP BY target"),
-    "crosswalk_topology": (crosswalk_topology, "WITH p AS (SELECT DISTINCT c_nationkey, c_custkey % 97 % 40 AS target FROM customer WHERE (c_nationkey * 7 + c_custkey % 97 % 40) % 5 = 0), k AS (SELECT count(*) OVER (PARTITION BY c_nationkey) AS a, count(*) OVER (PARTITION BY target) AS b FROM p) SELECT CASE WHEN a = 1 AND b = 1 THEN 'one_to_one' WHEN b = 1 THEN 'one_to_many' WHEN a = 1 THEN 'many_to_one' ELSE 'many_to_many' END AS kind, count(*) AS pairs FROM k GROUP BY 1"),
+    "crosswalk_topology": (crosswalk_topology, "WITH p AS (SELECT DISTINCT c_nationkey, c_custkey % 97 % 40 AS target FROM customer), k AS (SELECT count(*) OVER (PARTITION BY c_nationkey) AS a, count(*) OVER (PARTITION BY target) AS b FROM p) SELECT CASE WHEN a = 1 AND b = 1 THEN 'one_to_one' WHEN b = 1 THEN 'one_to_many' WHEN a = 1 THEN 'many_to_one' ELSE 'many_to_many' END AS kind, count(*) AS pairs FROM k GROUP BY 1"),
     "stratified_hash_quota": (stratified_hash_quota, "SELECT doc_id, lang, source, place FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('q1:' || doc_id), doc_id) AS place FROM documents) WHERE place <= 3"),
     "largest_remainder": (largest_remainder, "WITH g AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1), q AS (SELECT *, 57 * docs / sum(docs) OVER () AS q FROM g), f AS (SELECT *, floor(q) AS f FROM q) SELECT source, docs, CAST(f + CASE WHEN row_number() OVER (ORDER BY round(q - f, 9) DESC, source) <= 57 - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS seats FROM f"),
     "window_quota": (window_quota, "WITH n AS (SELECT lang, CAST(greatest(1, round(count(*) * 0.07)) AS BIGINT) AS quota FROM documents GROUP BY 1) SELECT lang, doc_id, place, quota FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents) JOIN n USING (lang) WHERE place <= quota"),
@@ -308,7 +310,7 @@ SELECT CASE grouping_id(size, election, party) WHEN 7 THEN 'all' WHEN 3 THEN 'si
     "ridge_fit": (ridge_fit, None),
     "loo_penalty": (loo_penalty, None),
     "contest_bootstrap_ci": (contest_bootstrap_ci, f"WITH {BOOT_SQL} SELECT round(avg(gain), 5) AS mean_gain, round(quantile_cont(gain, 0.025), 5) AS lower, round(quantile_cont(gain, 0.975), 5) AS upper, count(*) AS replicates FROM bs"),
-    "paired_bootstrap": (paired_bootstrap, f"WITH {PRED_SQL}, k AS (SELECT election, contest, sum(abs(100.0 / size - observed) - abs(predicted - observed)) AS d FROM t GROUP BY ALL), dr AS (SELECT contest, replicate, {REP_SQL} AS times FROM (SELECT contest, replicate, CAST('0x' || substr(sha256(contest || ':' || replicate), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM k, (SELECT unnest(range({REPLICATES})) AS replicate))), x AS (SELECT election, replicate, round(sum(times * d), 6) AS d FROM dr JOIN k USING (contest) GROUP BY ALL) SELECT election, count(*) FILTER (d > 0) AS wins, count(*) AS replicates FROM x GROUP BY election"),
+    "paired_bootstrap": (paired_bootstrap, f"WITH {PRED_SQL}, k AS (SELECT election, contest, sum(abs(100.0 / size - observed) - abs(predicted - observed)) AS d FROM t GROUP BY ALL), {s.draws_sql('k', 'contest', REPLICATES, 'election, d')}, x AS (SELECT election, replicate, round(sum(times * d), 6) AS d FROM dr GROUP BY ALL) SELECT election, count(*) FILTER (d > 0) AS wins, count(*) AS replicates FROM x GROUP BY election"),
     "encoder_median_onehot": (encoder_median_onehot, "WITH o AS (SELECT *, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS x FROM customer), f AS (SELECT *, coalesce(x, median(x) OVER ()) AS f FROM o) SELECT c_custkey, x IS NULL AS missing, round((f - avg(f) OVER ()) / stddev_pop(f) OVER (), 5) AS z, CAST(c_mktsegment = 'AUTOMOBILE' AS BIGINT) AS is_automobile, CAST(c_mktsegment = 'BUILDING' AS BIGINT) AS is_building, CAST(c_mktsegment = 'FURNITURE' AS BIGINT) AS is_furniture, CAST(c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') AS BIGINT) AS is_unseen FROM f"),
     "interaction_nulls": (interaction_nulls, "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END ELSE 0.0 END AS inter FROM customer"),
     "deciding_margin": (deciding_margin, f"WITH {PRED_SQL} SELECT election, round(avg(abs(predicted - observed)), 5) AS mae, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY observed DESC, party) AS r FROM t) WHERE r <= 2 GROUP BY election"),
