@@ -141,11 +141,11 @@ def coverage(values: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -> Da
     """(value, dictionary): the share of each distinct value's characters that lies in words of the corpus."""
     least, most = WORD_LETTERS
     parts = durable(values.select("value").distinct().select("value", F.explode(letter_runs(F.col("value"))).alias("p")).select("value", "p.*"))
-    asked = durable(parts.select("word").distinct())
+    asked = parts.select("word").distinct()
     low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{{least},{most}}}(?![\p{{L}}\p{{N}}_])"), F.lit(0)))
-    held = join_small(docs.select(F.explode(words).alias("word")), asked, ["word"], "inner")
-    known = durable(held.groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("word"))
+    dictionary = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    known = durable(dictionary.join(asked, "word", "left_semi").select("word"))
     spans = join_small(parts, known, ["word"], "inner").groupBy("value").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, x: F.struct(
