@@ -127,11 +127,10 @@ class WordBPE:
             split = split.replace(name, char_class(ranges))
         self.exact = re.compile(split).findall
         self.quick = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        unassigned = [r for r in category_ranges("C") if r[0] > 0xFF and r[1] < 0x10000]
-        self.unsure = re.compile(f"[{char_class(unassigned)}\\U00010000-\\U0010ffff]").search
         self.starters = re.compile(f"([{char_class(code_ranges(STARTERS))}])")
         self.capitals = lower_table()
-        self.rare = re.compile(f"[{char_class(code_ranges(STARTERS))}{''.join(map(chr, self.capitals))}]").search
+        unsure = [r for r in [*category_ranges("C"), *code_ranges(STARTERS), *((c, c) for c in self.capitals)] if r[0] > 0xFF and r[1] < 0x10000]
+        self.unsure = re.compile(f"[{char_class(unsure)}\\U00010000-\\U0010ffff]").search
 
     def _symbols(self, text: str) -> str:
         """A vocabulary entry as one character per symbol."""
@@ -202,19 +201,21 @@ class WordBPE:
         shown, offset = self.shown, self.offset
         return " ".join([shown[offset[i] : offset[i + 1]] for i in ids])
 
-    def normal(self, text: str) -> str:
-        """Composed and in lower case, without the rule for a final sigma."""
-        if text.isascii():
-            return text.lower()
-        if self.rare(text):
-            text = "".join(unicodedata.normalize("NFC", x) for x in self.starters.split(text)).translate(self.capitals)
-        else:
+    def normal(self, text: str, plain: bool) -> str:
+        """Composed and in lower case, without the rule for a final sigma; ``plain`` if all tables agree on the characters."""
+        if plain:
             text = unicodedata.normalize("NFC", text)
+        else:
+            text = "".join(unicodedata.normalize("NFC", x) for x in self.starters.split(text)).translate(self.capitals)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
     def pieces(self, text: str) -> list[str]:
-        """The pre-tokens; texts of characters on which all tables agree take the faster pattern."""
-        return self.quick(text) if text.isascii() or not self.unsure(text) else self.exact(text)
+        """The pre-tokens of a text."""
+        if text.isascii():
+            return self.quick(text.lower())
+        plain = not self.unsure(text)
+        text = self.normal(text, plain)
+        return self.quick(text) if plain else self.exact(text)
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """(ids joined by spaces, how many, decoded text) of a whole text."""
@@ -226,7 +227,7 @@ class WordBPE:
                 i = self.special[part]
                 found = [(str(i), 1, self.decode([i]))]
             else:
-                found = [known.get(p) or word(p) for p in self.pieces(self.normal(part))]
+                found = [known.get(p) or word(p) for p in self.pieces(part)]
             ids += [x[0] for x in found]
             n += sum([x[1] for x in found])
             shown += [x[2] for x in found]
