@@ -126,6 +126,7 @@ def log_ratios(grams: DataFrame, d: float = DISCOUNT) -> DataFrame:
         types = types.withColumn("c", F.when(started, F.col("n")).otherwise(F.lit(1))).groupBy(low(8 * order).alias("key")).agg(
             F.sum("n").alias("n"), F.sum("c").alias("types")
         )
+        types = durable(types)
         levels.append(types)
     shared = levels[-1].select("key", F.col("types").alias("v"))
     total = shared.agg(F.sum("v").alias("all"))
@@ -136,9 +137,9 @@ def log_ratios(grams: DataFrame, d: float = DISCOUNT) -> DataFrame:
         grams_at = levels[ORDER - 1 - order].withColumn("h", F.shiftright("key", 8)).withColumn("s", low(8 * (order - 1)))
         heads = grams_at.groupBy("h").agg(F.sum("types").alias("sum"), F.count("*").alias("kinds"))
         back = shared.select(F.col("key").alias("s"), F.col("p").alias("below"))
-        shared = grams_at.join(heads, "h").join(back, "s").select(
+        shared = durable(grams_at.join(heads, "h").join(back, "s").select(
             "key", ((F.greatest(F.col("types") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("below")) / F.col("sum")).alias("p")
-        )
+        ))
     full = grams.withColumn("h", F.shiftright("key", 8)).withColumn("s", low(8 * (ORDER - 1)))
     heads = full.groupBy("h").agg(
         *[F.sum(c).alias(f"{c}_sum") for c in ("toxic", "ordinary")],
