@@ -12,7 +12,9 @@ prefixes are made distinct with map-side combining before they are joined.
 
 Defined results: turns are ordered by turn, then role and text; null turn sorts first; null role or text
 count as empty; repeated equal turn rows count once each; rows with null conv_id are ignored; an empty table gives an
-empty table; extra columns are ignored.
+empty table; texts of any length are hashed whole; extra columns are ignored.
+
+Turns with their places, and the prefix hashes, are written once each, as both are read several times.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.plans.durable import durable
+
 BLOCK = 512
 ROLE = "<|{role}|>"
 END = "<|end|>"
@@ -61,7 +65,12 @@ def prefixes(place: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns of the conversations that stay."""
-    at = prefixes(placed(turns))
+    return maximal_placed(durable(placed(turns)))
+
+
+def maximal_placed(place: DataFrame) -> DataFrame:
+    """``maximal`` of turns that already have their places."""
+    at = durable(prefixes(place))
     lengths = at.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("w")).select("conv_id", "w.*")
     inner = at.join(lengths.select("conv_id", F.col("place").alias("n_turns")), "conv_id").where(F.col("place") < F.col("n_turns"))
     inner = inner.select("place", "h1", "h2").distinct()
@@ -71,7 +80,8 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_chars, chat: the maximal conversations as text, turns in order."""
-    kept = placed(turns).join(maximal(turns), "conv_id")
+    place = durable(placed(turns))
+    kept = place.join(maximal_placed(place), "conv_id")
     head = F.concat(F.lit(ROLE.split("{role}")[0]), F.col("role"), F.lit(ROLE.split("{role}")[1] + "\n"))
     line = F.struct("place", F.concat(head, F.col("text"), F.lit(END + "\n")).alias("line"))
     rows = kept.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.array_sort(F.collect_list(line)).alias("turns"))
