@@ -54,11 +54,14 @@ def candidate_pairs_blocking(spark, base):
     return d.candidate_pairs(d.features(art(spark, base)))
 
 
-def scored(spark, base, f=None):
-    f = f or d.features(art(spark, base))
+def pair_scores_of(f):
     return d.pair_scores(d.candidate_pairs(f), f)
 
 
+def scored(spark, base, f=None):
+    return pair_scores_of(f or d.features(art(spark, base)))
+
+
 def pair_scores_jaccard_containment(spark, base):
     return scored(spark, base)
 
@@ -164,13 +167,13 @@ def mapping_layer(spark, base):
 
 def shared_long_paragraphs(spark, base):
     """Candidate pairs with the number and size of long paragraphs that stand in both."""
-    a = art(spark, base).select("doc_id", F.array_distinct(F.filter(F.transform("paragraphs", F.trim), lambda p: F.length(p) >= 40)).alias("p"))
+    a = art(spark, base).select("doc_id", F.array_distinct(F.filter(F.transform("paragraphs", lambda x: F.trim(x)), lambda p: F.length(p) >= 40)).alias("p"))
     pairs = d.candidate_pairs(d.features(art(spark, base))).select("a", "b")
     x = pairs.join(a.select(F.col("doc_id").alias("a"), F.col("p").alias("pa")), "a").join(a.select(F.col("doc_id").alias("b"), F.col("p").alias("pb")), "b").withColumn("s", F.array_intersect("pa", "pb"))
     return x.select("a", "b", F.size("s").cast("long").alias("paragraphs"), F.aggregate("s", F.lit(0), lambda n, p: n + F.length(p)).cast("long").alias("chars"))
 
 
-MARKERS = "reuters|press association|local democracy|according to|licensed under|released under"
+MARKERS = "reuters|press association|pa media|associated press|agence france|local democracy|according to|licensed under|released under|press release"
 
 
 def attribution_markers(spark, base):
@@ -191,7 +194,7 @@ def version_pair_changes(spark, base):
     a = art(spark, base)
     nums = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit("([0-9]+)"), F.lit(1))))
     quotes = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit('("[^"]+")'), F.lit(1))))
-    f = a.select("doc_id", "source", "title", nums.alias("n"), quotes.alias("q"), F.array_distinct(F.filter(F.transform("paragraphs", F.trim), lambda p: p != "")).alias("p"))
+    f = a.select("doc_id", "source", "title", nums.alias("n"), quotes.alias("q"), F.array_distinct(F.filter(F.transform("paragraphs", lambda x: F.trim(x)), lambda p: p != "")).alias("p"))
     x = d.candidate_pairs(d.features(a)).select("a", "b")
     for s in "ab":
         x = x.join(f.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in f.columns]), s)
@@ -203,7 +206,7 @@ def version_pair_changes(spark, base):
 
 def paragraph_frequency(spark, base):
     """Lines that stand in several documents, by how many: the corpus' boilerplate spectrum."""
-    p = art(spark, base).select("doc_id", F.explode(F.array_distinct(F.filter(F.transform("paragraphs", F.trim), lambda x: F.length(x) >= 20))).alias("p"))
+    p = art(spark, base).select("doc_id", F.explode(F.array_distinct(F.filter(F.transform("paragraphs", lambda x: F.trim(x)), lambda x: F.length(x) >= 20))).alias("p"))
     return p.groupBy(F.xxhash64("p").alias("h")).agg(F.count("*").alias("documents")).groupBy("documents").agg(F.count("*").alias("paragraphs"))
 
 

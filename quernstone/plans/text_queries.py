@@ -112,7 +112,7 @@ def char_normalise(spark, base):
 
 def structure_flags(spark, base):
     """Paragraph counts and structure warnings."""
-    p = F.filter(F.transform("paragraphs", F.trim), lambda x: x != "")
+    p = F.filter(F.transform("paragraphs", lambda x: F.trim(x)), lambda x: x != "")
     a = art(spark, base).select("doc_id", p.alias("p"))
     dup = F.size("p") - F.size(F.array_distinct("p"))
     flags = F.filter(F.array(F.when(dup > 0, "duplicate_paragraphs"), F.when(F.size("p") == 1, "single_block"), F.when(F.exists("p", lambda x: F.length(x) > 2000), "very_long_paragraph")), lambda x: x.isNotNull())
