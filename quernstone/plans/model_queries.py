@@ -13,12 +13,6 @@ OUTLINES = {"triangle": [(0.0, 0.0), (0.5, 0.0), (0.0, 0.5)], "notched": [(0.5,
 EDGES = [(a, *p, *q) for a, ring in OUTLINES.items() for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
 
 
-def logistic_fit(spark, base):
-    d = table(spark, base, "labels").join(table(spark, base, "documents"), "doc_id").select((F.length("text") / 4000).alias("size"), F.regexp_count("text", F.lit("[!#*]")).alias("marks"), "quality")
-    w = m.logistic_newton(d.withColumn("marks", F.log1p("marks")), ["size", "marks"], "quality")
-    return spark.createDataFrame([(k, round(v, 5)) for k, v in w.items()], "term string, weight double")
-
-
 def seat_calibration(spark, base):
     p = predictions(spark, base).where("size >= 3").withColumn("z", F.col("predicted") / 20)
     out = m.calibrate_to_seats(p, ["contest"], "z", F.lit(2.0))
@@ -42,7 +36,6 @@ def architecture_selection(spark, base):
 
 
 QUERIES = {
-    "logistic_fit": (logistic_fit, None),
     "seat_calibration": (seat_calibration, f"WITH {PRED_SQL} SELECT contest, CAST(2.0 AS DOUBLE) AS seats, count(*) AS entries FROM t WHERE size >= 3 GROUP BY contest"),
     "point_in_polygon": (point_in_polygon, f"WITH p AS (SELECT c_custkey, (c_custkey * 7919 % 1000) / 1000.0 + 0.0005 AS px, (c_custkey * 104729 % 997) / 997.0 + 0.0003 AS py FROM customer), e(area, x1, y1, x2, y2) AS (VALUES {', '.join(map(str, EDGES))}), i AS (SELECT c_custkey, area FROM p JOIN e ON (y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY ALL HAVING count(*) % 2 = 1), n AS (SELECT c_custkey, count(*) AS n, max(area) AS area FROM i GROUP BY 1) SELECT p.c_custkey, CASE WHEN n = 1 THEN area END AS area, coalesce(n, 0) AS n_areas FROM p LEFT JOIN n USING (c_custkey)"),
     "architecture_selection": (architecture_selection, f"WITH {PRED_SQL}, l AS (SELECT election, 'equal' AS model, abs(100 / size - observed) AS e FROM t UNION ALL SELECT election, 'votes', abs(predicted - observed) FROM t UNION ALL SELECT election, 'mean', abs((predicted + 100 / size) / 2 - observed) FROM t), s AS (SELECT model, election, count(*) AS n, round(avg(e), 6) AS error FROM l GROUP BY ALL), j AS (SELECT s.*, b.error AS be FROM s JOIN s b ON s.election = b.election AND b.model = 'equal'), p AS (SELECT model, round(sum(n * error) / sum(n), 6) AS pooled, count(*) FILTER (error > be) AS adverse, round(sum(n * be) / sum(n), 6) AS base_pooled FROM j GROUP BY model), o AS (SELECT *, base_pooled - pooled >= 0.5 AND adverse <= 1 AS ok FROM p) SELECT model, pooled, adverse, base_pooled, CASE WHEN ok THEN 'chosen' WHEN model = 'equal' AND NOT bool_or(ok) OVER () THEN 'kept' ELSE 'rejected' END AS verdict FROM o"),

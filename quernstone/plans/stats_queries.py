@@ -187,41 +187,6 @@ def ridge_moments(spark, base):
     return s.gram(table(spark, base, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("price")), ["l_quantity", "l_discount", "l_tax"], "price", 3)
 
 
-def ridge_fit(spark, base):
-    w = s.ridge(table(spark, base, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("price")), ["l_quantity", "l_discount", "l_tax"], "price", 10.0)
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "term string, weight double")
-
-
-def loo_penalty(spark, base):
-    """Leave-one-year-out error of each penalty: folds fit in parallel from moments, one group each."""
-    import numpy as np
-    import pandas as pd
-
-    rows = table(spark, base, "lineitem").select(F.year("l_shipdate").alias("g"), "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"))
-    names = ["l_quantity", "l_discount", "l_tax", "y"]
-    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
-    m = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in names], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i, j in pairs])
-    folds = m.select(F.col("g").alias("fold")).join(m).where("fold <> g").groupBy("fold").agg(*[F.sum(x).alias(x) for x in m.columns if x != "g"])
-    test = m.withColumnsRenamed({x: f"t_{x}" for x in m.columns if x != "g"})
-    work = folds.join(test, F.col("fold") == F.col("g")).withColumn("penalty", F.explode(F.array(*map(F.lit, [0.1, 10.0, 1000.0]))))
-
-    def fit(batches):
-        for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                full = lambda p, r=r: np.array([[r[f"{p}p{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
-                mean = np.array([r[x] / r["n"] for x in names])
-                g = full("") - r["n"] * np.outer(mean, mean)
-                w = np.linalg.solve(g[:3, :3] + r["penalty"] * np.eye(3), g[:3, 3])
-                v = np.append(-w, 1.0)
-                k = mean[3] - w @ mean[:3]
-                s1 = v @ np.array([r[f"t_{x}"] for x in names])
-                out.append((r["fold"], r["penalty"], round(float((v @ full("t_") @ v - 2 * k * s1 + k * k * r["t_n"]) / r["t_n"]), 4)))
-            yield pd.DataFrame(out, columns=["fold", "penalty", "mse"])
-
-    return work.mapInPandas(fit, "fold int, penalty double, mse double").groupBy("penalty").agg(F.round(F.avg("mse"), 4).alias("mse"), F.count("*").alias("folds"))
-
-
 REPLICATES = 2000
 BOOT_SQL = f"""{PRED_SQL}, k AS (SELECT contest, any_value(election) AS election, sum(abs(predicted - observed)) AS a, sum(abs(100.0 / size - observed)) AS b, count(*) AS n FROM t GROUP BY contest),
 {s.draws_sql("k", "contest", REPLICATES, "election, a, b, n")},
@@ -307,8 +272,6 @@ SELECT CASE grouping_id(size, election, party) WHEN 7 THEN 'all' WHEN 3 THEN 'si
     "top_n_tiebreak": (top_n_tiebreak, "SELECT c_custkey, c_name, round(c_acctbal, 0) AS key FROM customer ORDER BY key DESC, c_name LIMIT 25"),
     "strata_union": (strata_union, "WITH u AS ((SELECT c_custkey, 'rich' AS why FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30) UNION ALL (SELECT c_custkey, 'poor' FROM customer ORDER BY c_acctbal, c_custkey LIMIT 30) UNION ALL (SELECT c_custkey, 'building' FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 30)) SELECT c_custkey, string_agg(why, ',' ORDER BY why) AS reasons FROM u GROUP BY 1"),
     "ridge_moments": (ridge_moments, None),
-    "ridge_fit": (ridge_fit, None),
-    "loo_penalty": (loo_penalty, None),
     "contest_bootstrap_ci": (contest_bootstrap_ci, f"WITH {BOOT_SQL} SELECT round(avg(gain), 5) AS mean_gain, round(quantile_cont(gain, 0.025), 5) AS lower, round(quantile_cont(gain, 0.975), 5) AS upper, count(*) AS replicates FROM bs"),
     "paired_bootstrap": (paired_bootstrap, f"WITH {PRED_SQL}, k AS (SELECT election, contest, sum(abs(100.0 / size - observed) - abs(predicted - observed)) AS d FROM t GROUP BY ALL), {s.draws_sql('k', 'contest', REPLICATES, 'election, d')}, x AS (SELECT election, replicate, round(sum(times * d), 6) AS d FROM dr GROUP BY ALL) SELECT election, count(*) FILTER (d > 0) AS wins, count(*) AS replicates FROM x GROUP BY election"),
     "encoder_median_onehot": (encoder_median_onehot, "WITH o AS (SELECT *, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS x FROM customer), f AS (SELECT *, coalesce(x, median(x) OVER ()) AS f FROM o) SELECT c_custkey, x IS NULL AS missing, round((f - avg(f) OVER ()) / stddev_pop(f) OVER (), 5) AS z, CAST(c_mktsegment = 'AUTOMOBILE' AS BIGINT) AS is_automobile, CAST(c_mktsegment = 'BUILDING' AS BIGINT) AS is_building, CAST(c_mktsegment = 'FURNITURE' AS BIGINT) AS is_furniture, CAST(c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') AS BIGINT) AS is_unseen FROM f"),
