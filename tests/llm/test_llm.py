@@ -104,6 +104,64 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert toxicity.log_ratios(grams).where("ratio is null or isnan(ratio)").count() == 0
 
 
+def brute_ratios(texts):
+    """{n-gram as bytes, zeros stripped: log ratio} by the definition: words start with a space, contexts stay within words."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    full = defaultdict(lambda: [0, 0, 0])
+    for text, kind in texts:
+        for word in text.split():
+            w = b" " + word.encode()
+            for i in range(1, len(w)):
+                for k in (0, kind) if kind else (0,):
+                    full[w[max(0, i + 1 - order) : i + 1]][k] += 1
+    level, levels = {g: (n[0], 1) for g, n in full.items()}, {}
+    for k in range(order - 1, 0, -1):
+        shorter = defaultdict(lambda: [0, 0])
+        for g, (n, _) in level.items():
+            low = shorter[g[-k:]]
+            low[0] += n
+            low[1] += 1 if len(g) > k else n  # nothing stands left of a word start
+        level = levels[k] = {g: tuple(v) for g, v in shorter.items()}
+    whole = sum(v for _, v in levels[1].values())
+
+    def p(g, k):
+        """The shared distribution of order k; a context at a word start is the same at every order that it fits."""
+        if k == 1:
+            return (levels[1][g][1] + 1 / 256) / (whole + 1)
+        same = {h: v for h, (_, v) in levels[k].items() if h[:-1] == g[:-1]}
+        return (max(same[g] - d, 0) + d * len(same) * p(g[-(k - 1) :], k - 1)) / sum(same.values())
+
+    out = {}
+    heads = defaultdict(Counter)
+    for g, n in full.items():
+        for c in (1, 2):
+            if n[c]:
+                heads[g[:-1], c][g] += n[c]
+    for g, n in full.items():
+        below = p(g[-(order - 1) :], order - 1)
+        both = []
+        for c in (1, 2):
+            seen = heads[g[:-1], c]
+            total = sum(seen.values())
+            both.append((max(n[c] - d, 0) + d * len(seen) * below) / total if total else below)
+        if any(heads[g[:-1], c] for c in (1, 2)):
+            out[g] = log(both[0]) - log(both[1])
+    return out
+
+
+def test_kneser_ney_ratios_by_brute_force(spark):
+    rng = random.Random(6)
+    texts = [(" ".join("".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(25)), k) for k in (1, 1, 2, 2, 0, 0)]
+    grams = toxicity.counts(spark.createDataFrame(texts, "text string, kind int"))
+    got = {r["key"].to_bytes(8, "big").lstrip(b"\0"): r["ratio"] for r in toxicity.log_ratios(grams).collect()}
+    want = brute_ratios(texts)
+    assert got.keys() == want.keys() and len(want) > 200
+    assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
 def test_toxicity_ratios_keep_their_values_however_many_ngrams(spark):
     """Five million frequent n-grams beside those of two texts: every ratio counts by its own key, broadcast or joined."""
     texts = [(1, "vile words vile"), (2, "vile words vile"), (3, "calm words"), (4, None)]
