@@ -130,9 +130,13 @@ POISSON_CUTS = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153,
 PRIME = 2_147_483_647
 
 
-def _fifth(x: Column) -> Column:
-    """x^5 modulo PRIME, a permutation of its residues; all products stay below 2^62."""
-    return let(x, lambda v: let(v * v % PRIME, lambda q: q * q % PRIME * v % PRIME))
+def _fifth(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Adds x^5 modulo PRIME, a permutation of its residues; all products stay below 2^62. Each power is a column of its
+    own, so that it is computed once, in generated code."""
+    v = F.col(x)
+    df = df.withColumn("sq_", v * v % PRIME)
+    df = df.withColumn("sq_", F.col("sq_") * F.col("sq_") % PRIME)
+    return df.withColumn(out, F.col("sq_") * v % PRIME).drop("sq_")
 
 
 def draws(contests: DataFrame, key: str, replicates: int) -> DataFrame:
@@ -141,12 +145,14 @@ def draws(contests: DataFrame, key: str, replicates: int) -> DataFrame:
     Poisson(1) resampling: each contest draws its own count from integer arithmetic on (key, replicate), so replicates
     need no positions, no totals, no join and no shuffle, and a contest carries its values into its own draws.
     """
-    own = _fifth(F.pmod(F.col(key).cast("long") * 48271 + 11, F.lit(PRIME)))
-    spread = contests.withColumn("own_", own).repartition(contests.sparkSession.sparkContext.defaultParallelism, key)  # before it fans out
-    drawn = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    t = _fifth((F.col("own_") * 16807 + _fifth((F.col("replicate") + 1) * 69621 % PRIME) * 39373) % PRIME)
-    times = let(t, lambda v: sum((F.when(v >= int(c * PRIME), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0)))
-    return drawn.withColumn("times", times.cast("long")).where("times > 0").drop("own_")
+    seeds = [pow((r + 1) * 69621 % PRIME, 5, PRIME) * 39373 % PRIME for r in range(replicates)]
+    each = F.expr(f"array({', '.join(f'{x}L' for x in seeds)})")  # one constant; its places are the replicates
+    spread = contests.repartition(contests.sparkSession.sparkContext.defaultParallelism, key)  # before it fans out
+    spread = _fifth(spread.withColumn("own_", F.pmod(F.col(key).cast("long") * 48271 + 11, F.lit(PRIME).cast("long"))), "own_", "own_").withColumn("own_", F.col("own_") * 16807 % PRIME)
+    drawn = spread.select("*", F.posexplode(each).alias("at_", "x_")).select("*", F.col("at_").cast("long").alias("replicate"), ((F.col("own_") + F.col("x_")) % PRIME).alias("t_")).drop("at_", "x_")
+    drawn = _fifth(drawn, "t_", "t_").where(F.col("t_") >= int(POISSON_CUTS[0] * PRIME))
+    times = sum((F.when(F.col("t_") >= int(c * PRIME), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
+    return drawn.withColumn("times", times.cast("long")).drop("own_", "t_")
 
 
 def draws_sql(source: str, key: str, replicates: int, columns: str) -> str:
