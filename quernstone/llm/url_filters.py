@@ -36,7 +36,7 @@ RULES = [
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
 TOLERANCE = 1e-9  # total mass that a further round may still move
-STRIDE = 3  # rounds between two writes
+STRIDE = 6  # rounds between two writes
 THRESHOLD = 0.5
 PLACES = 6
 
@@ -68,7 +68,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
 
     Mass at hosts without links leaves the graph. Rounds go on until ranks move by no more than ``tolerance`` in all; as each
     round moves at most ``damping`` of the mass before it, log(tolerance) / log(damping) rounds are enough for any graph.
-    Each third round is written to the shared folder and compared with the one written before.
+    Each STRIDE-th round is written to the shared folder and compared with the one written before.
     """
     out = edges.groupBy("a").agg(F.sum("links").alias("total"))
     share = durable(edges.join(out, "a").select("a", "b", (F.col("links") / F.col("total")).alias("share")))
