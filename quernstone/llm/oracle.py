@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+from quernstone.llm import divergence as div
 from quernstone.llm import license_scans as lic
+from quernstone.llm import mixing as mix
 from quernstone.llm import quality_rules as q
 from quernstone.llm import url_filters as url
 
@@ -116,4 +118,52 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(length(chat) AS BIGINT) AS n_
 """
 
 
-SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op6_chat_formatting": CHAT, "op10_url_filters": _url(), "host_rank_over_trade": TRADE}
+def _mixing() -> str:
+    d = lambda x: f"CAST({x!r} AS DOUBLE)"
+    weight = f"[{', '.join(map(str, mix.WEIGHTS))}][rank % {len(mix.WEIGHTS)} + 1]"
+
+    def inverse(schedule: tuple[float, ...]) -> str:
+        own = mix.stretches(schedule)
+        area = f"(part * {d(own[-1][1])})"
+        root = lambda a, t, m, s: f"{d(t)} + CASE WHEN {area} > {d(a)} THEN 2.0::DOUBLE * ({area} - {d(a)}) / ({d(m)} + sqrt({d(m)} * {d(m)} + 2.0::DOUBLE * {d(s)} * ({area} - {d(a)}))) ELSE 0.0 END"
+        when = " ".join(f"WHEN {area} < {d(b)} THEN {root(a, *rest)}" for a, b, *rest in own[:-1])
+        return f"CASE {when} ELSE {root(own[-1][0], *own[-1][2:])} END"
+
+    time = f"CASE rank % {len(mix.SCHEDULES)} " + " ".join(f"WHEN {k} THEN {inverse(x)}" for k, x in enumerate(mix.SCHEDULES)) + " END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACE}+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS mark FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, {weight} AS weight, {mix.MAX_REPEATS} * source_size AS cap FROM s),
+c AS (SELECT *, coalesce(sum(cap) OVER x, 0) AS cap_before, coalesce(sum(weight) OVER x, 0) AS weight_before, sum(source_size) OVER () AS words, sum(weight) OVER () AS weights
+  FROM w WINDOW x AS (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, weight * (words - cap_before) > cap * (weights - weight_before) AS held FROM c),
+t AS (SELECT *, CASE WHEN held THEN CAST(cap AS DOUBLE) ELSE CAST(weight * (words - coalesce(sum(cap) FILTER (held) OVER (), 0)) AS DOUBLE) / greatest(coalesce(sum(weight) FILTER (NOT held) OVER (), 0), 1) END AS target FROM f),
+o AS (SELECT d.row, doc_id, d.source, size, source_size, rank, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT o.*, k * source_size + before AS begins, least(size, CAST(floor(target) AS BIGINT) - (k * source_size + before)) AS taken FROM o, range({mix.MAX_REPEATS}) AS r(k)),
+p AS (SELECT *, CAST(begins AS DOUBLE) / target AS part FROM e WHERE taken > 0),
+g AS (SELECT row, taken, coalesce(sum(taken) OVER (ORDER BY {time}, rank, begins ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+a AS (SELECT row, sum(taken) AS taken, min(start) AS start FROM g GROUP BY row)
+SELECT doc_id, size, source_size, target, CAST(coalesce(a.taken, 0) AS BIGINT) AS taken, CAST(start AS BIGINT) AS first_start FROM o LEFT JOIN a USING (row)
+"""
+
+
+def _divergence() -> str:
+    share = lambda n, total: f"1 + {div.SCALE} * (CAST({n} AS HUGEINT) + 2) // ({total} + 2 * v)"
+    apart = "(p - q) * (p - q) // (p + q)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {div.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.*, coalesce(v, 0) AS v, coalesce(total, 0) AS total, coalesce(sum(total) OVER (PARTITION BY lang), 0) AS lang_total FROM g LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY 1) USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)),
+f AS (SELECT lang, x.source, term, coalesce(n, 0) AS n, CASE WHEN v > 0 THEN {share("coalesce(n, 0)", "total")} END AS p, CASE WHEN v > 0 THEN {share("sum(coalesce(n, 0)) OVER (PARTITION BY lang, term)", "lang_total")} END AS q FROM x JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+y AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN y ON y.lang = a.lang AND y.source = a.source AND y.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, {apart} FROM f WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM z WHERE part = 'pair' OR rank <= {div.TOP}
+"""
+
+
+SQL: dict[str, str] = {"op1_license_scans": _license(), "op4_quality_rules": _quality(), "op6_chat_formatting": CHAT, "op10_url_filters": _url(), "op11_source_mixing": _mixing(), "op12_source_divergence": _divergence(), "host_rank_over_trade": TRADE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, chat_formatting, decontamination, license_scans, near_dup, oracle, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from quernstone.llm import bpe, chat_formatting, decontamination, divergence, license_scans, mixing, near_dup, oracle, quality_rules, secret_scans, token_counts, toxicity, url_filters, whitening
 from quernstone.plans.durable import durable
 from quernstone.sources.tables import table
 
@@ -58,6 +58,18 @@ def op10_url_filters(spark: SparkSession, base: str) -> DataFrame:
     return url_filters.judge(table(spark, base, "pages"))
 
 
+def op11_source_mixing(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.taken(table(spark, base, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, base: str) -> DataFrame:
+    return divergence.audit(table(spark, base, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, base: str) -> DataFrame:
+    return whitening.long_form(whitening.whiten(table(spark, base, "embeddings")))
+
+
 def host_rank_over_trade(spark: SparkSession, base: str) -> DataFrame:
     """The propagation of op10 over a dense graph that the tables hold: nations as hosts, orders from a customer's nation to a
     supplier's as links, trusted seeds the customers of region 0, blocked ones the suppliers of region 1."""
@@ -76,7 +88,7 @@ def host_rank_over_trade(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op7_secret_scans, op8_bpe, op9_minhash_near_dup, op10_url_filters, host_rank_over_trade]
+    found = [op1_license_scans, op2_toxicity, op3_token_counts, op4_quality_rules, op5_decontamination, op6_chat_formatting, op7_secret_scans, op8_bpe, op9_minhash_near_dup, op10_url_filters, op11_source_mixing, op12_source_divergence, op13_embedding_whitening, host_rank_over_trade]
     return {f.__name__: f for f in found}
 
 
