@@ -39,7 +39,7 @@ from quernstone.plans.durable import durable, join_small
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP = 10
-FIRST_BYTES = 3
+FIRST_BYTES = 4
 #: bytes of a text as they stand in terms: A-Z as a-z, other ASCII but letters as a blank
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 END = b"\x00"
@@ -49,7 +49,7 @@ END = b"\x00"
 class Bounds:
     """What tasks hold at most: entries of a dictionary, bits of the survivors' bitmap (a multiple of 32,768), about the terms of a block, sources of a tile."""
 
-    flush: int = 200_000
+    flush: int = 400_000
     bits: int = 1 << 24
     block: int = 2048
     tile: int = 256
@@ -69,16 +69,19 @@ def bitmap(prefixes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def has(bits: np.ndarray, lang: bytes, prefix: bytes) -> bool:
-    h = zlib.crc32(lang + END + prefix) % (8 * len(bits))
-    return bool(bits[h >> 3] >> (h & 7) & 1)
+def alive_ones(bits: np.ndarray, lang: str, prefixes: list[bytes]) -> np.ndarray:
+    """Which of a language's prefixes are in the bitmap."""
+    crc, seed = zlib.crc32, zlib.crc32(lang.encode() + END)
+    h = np.fromiter((crc(p, seed) for p in prefixes), dtype=np.int64, count=len(prefixes)) % (8 * len(bits))
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
 
 
-class Flushed:
-    """Counts by group and key, given away as rows (group..., key, n) whenever they hold ``flush`` keys."""
+class Counted:
+    """Counts by group and key, given away as rows (group..., key, n) whenever they hold ``flush`` keys; of a flush's keys, those for which
+    ``wanted`` (group, keys) is true."""
 
-    def __init__(self, schema: pa.Schema, flush: int, wanted: Callable[[tuple, bytes], bool] | None = None):
-        self.schema, self.flush, self.wanted, self.keys = schema, flush, wanted, 0
+    def __init__(self, names: list[str], flush: int, wanted: Callable[[tuple, list[bytes]], np.ndarray] | None = None):
+        self.names, self.flush, self.wanted, self.keys = names, flush, wanted, 0
         self.counts: dict[tuple, Counter] = defaultdict(Counter)
 
     def add(self, group: tuple, keys) -> Iterator[pa.RecordBatch]:
@@ -87,59 +90,37 @@ class Flushed:
         own.update(keys)
         self.keys += len(own) - before
         if self.keys >= self.flush:
-            yield self.rows()
-
-    def rows(self) -> pa.RecordBatch:
-        found = [(*g, k, n) for g, own in self.counts.items() for k, n in own.items() if self.wanted is None or self.wanted(g, k)]
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for group, own in self.counts.items():
+            keys, n = pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())
+            if self.wanted is not None:
+                good = pa.array(self.wanted(group, list(own)))
+                keys, n = keys.filter(good), n.filter(good)
+            yield pa.RecordBatch.from_arrays([*[pa.repeat(pa.scalar(g, pa.string()), len(n)) for g in group], keys, n], names=self.names)
         self.counts.clear()
         self.keys = 0
-        columns = list(zip(*found, strict=True)) or [()] * len(self.schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
-
-
-class Memo(dict):
-    """A function's values by argument, forgotten when there are ``flush`` of them."""
-
-    def __init__(self, of: Callable, flush: int):
-        self.of, self.flush = of, flush
-
-    def __missing__(self, key):
-        if len(self) >= self.flush:
-            self.clear()
-        self[key] = value = self.of(key)
-        return value
 
 
 def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, terms): the distinct terms of each text, joined by blanks."""
+    """(lang, text) -> (lang, terms): the distinct terms of each text, each with its end mark, joined by blanks."""
     for b in batches:
-        found = [b" ".join(set(terms(t.as_py()))) for t in b.column(1)]
+        found = [b"".join([t + END + b" " for t in set(terms(x.as_py()))]) for x in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["lang", "terms"])
 
 
-PREFIXES = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("docs", pa.int64())])
-
-
 def prefix_counter(size: int, before: int, alive: np.ndarray | None, flush: int):
     """Counts documents by the distinct prefixes of ``size`` bytes of their terms. On later levels only terms go on that were
     no whole term at the last one (``before`` bytes hold no end mark) and whose prefix there is ``alive``."""
-
-    def extend(lang: str) -> Callable[[bytes], bytes | None]:
-        goes_on = lambda t: alive is None or len(t) >= before and has(alive, lang.encode(), t[:before])
-        return lambda t: (t + END)[:size] if goes_on(t) else None
+    wanted = None if alive is None else lambda group, keys: alive_ones(alive, group[0], [k[:before] for k in keys])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Flushed(PREFIXES, flush)
-        prefix: dict[str, Memo] = {}
+        sums = Counted(["lang", "prefix", "docs"], flush, wanted)
         for b in batches:
-            for lang, joined in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if lang not in prefix:
-                    prefix[lang] = Memo(extend(lang), flush)
-                own = prefix[lang]
-                seen = {own[t] for t in joined.as_py().split()}
-                seen.discard(None)
-                yield from sums.add((lang,), seen)
-        yield sums.rows()
+            for lang, marked in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield from sums.add((lang,), {t[:size] for t in marked.as_py().split() if len(t) > before})
+        yield from sums.rows()
 
     return count
 
@@ -160,26 +141,25 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bounds: Bounds = Bound
         alive, before, size = bitmap(open_, bounds.bits), size, 2 * size
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
-
-
 def occurrence_counter(alive: np.ndarray, flush: int):
     """Counts of the terms in ``alive`` by (lang, source); a few others come along, by equal hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Flushed(COUNTS, flush, lambda group, t: has(alive, group[0].encode(), t))
+        sums = Counted(["lang", "source", "term", "n"], flush, lambda group, keys: alive_ones(alive, group[0], keys))
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 yield from sums.add((lang, source), terms(text.as_py()))
-        yield sums.rows()
+        yield from sums.rows()
 
     return count
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(SCALE * (count + 2) / (n + 2 v)), exact also where the product is no long."""
+    """1 + floor(SCALE * (count + 2) / (n + 2 v)), by decimals where the product is no long."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.lit(1).cast("long") + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (wide(count) + 2), wide(n) + 2 * wide(v))
+    div = lambda a, b: F.call_function("div", a, b)
+    short = div(F.lit(SCALE).cast("long") * (count + 2), n + 2 * v)
+    return F.lit(1).cast("long") + F.when(count < (1 << 62) // SCALE, short).otherwise(div(F.lit(SCALE).cast("decimal(10,0)") * (wide(count) + 2), wide(n) + 2 * wide(v)))
 
 
 def apart(p, q):
@@ -188,11 +168,13 @@ def apart(p, q):
 
 
 def cells_of(docs: DataFrame, kept: DataFrame, bounds: Bounds) -> DataFrame:
-    """(lang, source, term, n): the occurrences of every kept term, where there are any."""
+    """(lang, source, term, n, lang_n): the occurrences of every kept term in a source, where there are any, and in its language."""
     alive = bitmap(kept.withColumnRenamed("term", "prefix"), bounds.bits)
     counted = docs.select("lang", "source", "text").mapInArrow(occurrence_counter(alive, bounds.flush), "lang string, source string, term binary, n long")
-    summed = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return durable(join_small(summed, kept, ["lang", "term"], "inner"))
+    # rows are dealt by term once: for their sums, for the check against the kept terms and for the language's sums
+    summed = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    true = summed.join(kept.hint("merge"), ["lang", "term"])
+    return durable(true.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term"))))
 
 
 def groups_of(docs: DataFrame, kept: DataFrame, cells: DataFrame, tile: int) -> DataFrame:
@@ -258,8 +240,7 @@ def pairs(cells: DataFrame, groups: DataFrame, kept: DataFrame, bounds: Bounds)
 
 def striking(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (a term of the group whose share is above the language's), value."""
-    everywhere = F.sum("n").over(Window.partitionBy("lang", "term"))
-    at = join_small(cells.withColumn("lang_n", everywhere), groups, ["lang", "source"], "inner")
+    at = join_small(cells, groups, ["lang", "source"], "inner")
     at = at.select("lang", "source", F.decode("term", "UTF-8").alias("item"), share(F.col("n"), F.col("total"), F.col("v")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q"))
     return at.where(F.col("p") > F.col("q")).select("lang", "source", "item", apart(F.col("p"), F.col("q")).alias("value"))
 
