@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["contest", "bands", "history", "stats", "dedup", "text", "stream", "model", "rule", "join", "source", "version", "audit", "fit"]
+FAMILIES = ["contest", "bands", "history", "stats", "dedup", "text", "stream", "model", "rule", "join", "source", "version", "audit", "fit", "geometry", "tree"]
 
 
 def _all() -> dict[str, tuple]:

@@ -103,14 +103,15 @@ def calibration(df: DataFrame, p: str, y: str, bins: int = 10, places: int = 6)
 
 
 def gram(df: DataFrame, columns: list[str], y: str, places: int = 4) -> DataFrame:
-    """(i, j, value): the moments that a ridge fit needs, one aggregation over all rows."""
+    """(i, j, value): the moments that a ridge fit needs, one aggregation over all rows. Decimal columns are summed and rounded exactly, before they become doubles."""
     names = [*columns, y]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = df.agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in names], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i, j in pairs])
+    total = lambda c: F.round(F.sum(c), places).cast("double")
+    sums = df.agg(F.count("*").cast("double").alias("n"), *[total(F.col(c)).alias(f"s_{c}") for c in names], *[total(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i, j in pairs])
     rows = [F.struct(F.lit("one").alias("i"), F.lit("one").alias("j"), F.col("n").alias("value"))]
     rows += [F.struct(F.lit("one").alias("i"), F.lit(c).alias("j"), F.col(f"s_{c}").alias("value")) for c in names]
     rows += [F.struct(F.lit(names[i]).alias("i"), F.lit(names[j]).alias("j"), F.col(f"p_{i}_{j}").alias("value")) for i, j in pairs]
-    return sums.select(F.inline(F.array(*rows))).withColumn("value", F.round("value", places))
+    return sums.select(F.inline(F.array(*rows)))
 
 
 def ridge(df: DataFrame, columns: list[str], y: str, penalty: float) -> dict[str, float]:

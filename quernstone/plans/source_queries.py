@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quernstone.plans.durable import durable, shared_dir
-from quernstone.sources import readers, sinks
+from quernstone.sources import markup, readers, sinks
 from quernstone.sources.tables import table
 
 
@@ -75,7 +75,7 @@ def html_table_scan(spark, base):
     rows = table(spark, base, "lineitem").select("l_orderkey", F.concat(F.lit("<tr id=r>"), cell(F.col("l_partkey"), F.col("l_linenumber"), F.col("l_returnflag")), F.lit("</tr>")).alias("tr"))
     head = "<table><tr><th>part</th><th>line</th><th>flag</th></tr>"
     pages = rows.groupBy("l_orderkey").agg(F.concat(F.lit(head), F.array_join(F.collect_list("tr"), "\n"), F.lit("</table>")).alias("html"))
-    found = pages.select("l_orderkey", F.explode(readers.html_table_rows(F.col("html"))).alias("c")).where(F.col("c")[0] != "part")
+    found = markup.table_rows(pages, "l_orderkey", "html").select("l_orderkey", F.col("cells").alias("c")).where(F.col("c")[0] != "part")
     return found.select("l_orderkey", F.col("c")[0].cast("long").alias("part"), F.col("c")[1].cast("long").alias("line"), F.col("c")[2].alias("flag"))
 
 
@@ -87,8 +87,7 @@ def html_metadata(spark, base):
         F.when(F.length("url") % 3 == 0, F.concat(F.lit('<meta property="article:published_time" content="'), d, F.lit('T10:00:00Z">'))).otherwise(""), F.concat(F.lit('<time class="x" datetime="'), d, F.lit('">')),
     )
     page = F.concat(extra, F.coalesce("html", F.lit("")))
-    e = table(spark, base, "pages").select("page_id", F.explode(readers.metadata_evidence(page)).alias("e"))
-    return e.select("page_id", "e.field", "e.value", "e.found_in")
+    return markup.evidence(table(spark, base, "pages").select("page_id", page.alias("html")), "page_id", "html")
 
 
 def representation_pick(spark, base):
@@ -168,7 +167,7 @@ QUERIES = {
     "geojson_merge": (geojson_merge, f"WITH {SHAPES} SELECT name, count(*) AS parts, count(*) * 5 AS points, CAST(min(x) AS DOUBLE) AS min_x, CAST(min(y) AS DOUBLE) AS min_y, CAST(max(x) + 1 AS DOUBLE) AS max_x, CAST(max(y) + 1 AS DOUBLE) AS max_y FROM c GROUP BY name"),
     "html_table_scan": (html_table_scan, "SELECT l_orderkey, l_partkey AS part, CAST(l_linenumber AS BIGINT) AS line, l_returnflag AS flag FROM lineitem"),
     "html_metadata": (html_metadata, f"""WITH {META} SELECT page_id, 'title' AS field, 'H ' || page_id AS value, 'json_ld' AS found_in FROM p WHERE n % 2 = 0 UNION ALL SELECT page_id, 'published', d, 'json_ld' FROM p WHERE n % 2 = 0 UNION ALL SELECT page_id, 'published', d || 'T10:00:00Z', 'open_graph' FROM p WHERE n % 3 = 0
- UNION ALL SELECT page_id, 'published', d, 'time' FROM p UNION ALL SELECT page_id, 'title', regexp_extract(h, '<title>([^<]*)</title>', 1), 'title' FROM p WHERE regexp_extract(h, '<title>([^<]*)</title>', 1) <> '' UNION ALL SELECT page_id, 'language', regexp_extract(h, '<html[^>]* lang="([^"]*)"', 1), 'html' FROM p WHERE regexp_extract(h, '<html[^>]* lang="([^"]*)"', 1) <> ''"""),
+ UNION ALL SELECT page_id, 'published', d, 'time' FROM p UNION ALL SELECT page_id, 'title', trim(replace(replace(replace(regexp_extract(h, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), 'title' FROM p WHERE regexp_extract(h, '<title>([^<]*)</title>', 1) <> '' UNION ALL SELECT page_id, 'language', regexp_extract(h, '<html[^>]* lang="([^"]*)"', 1), 'html' FROM p WHERE regexp_extract(h, '<html[^>]* lang="([^"]*)"', 1) <> ''"""),
     "representation_pick": (representation_pick, r"""WITH c AS (SELECT page_id, array_to_string(regexp_extract_all(html, '<p>([^<]{40,})</p>', 1), chr(10)) AS b, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
  k AS (SELECT *, list_filter([CASE WHEN trim(b) <> '' THEN 'body' END, CASE WHEN trim(h) <> '' THEN 'heading' END, CASE WHEN trim(t) <> '' THEN 'title' END], lambda x: x IS NOT NULL) AS k FROM c)
  SELECT page_id, k[1] AS chosen, sha256(CASE k[1] WHEN 'body' THEN b WHEN 'heading' THEN h ELSE t END) AS text_sha256, array_to_string(k[2:], ',') AS alternatives FROM k WHERE len(k) > 0"""),

@@ -184,7 +184,8 @@ def strata_union(spark, base):
 
 
 def ridge_moments(spark, base):
-    return s.gram(table(spark, base, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("price")), ["l_quantity", "l_discount", "l_tax"], "price", 3)
+    exact = [F.col(c).cast("decimal(12,2)").alias(c) for c in ("l_quantity", "l_discount", "l_tax")]
+    return s.gram(table(spark, base, "lineitem").select(*exact, F.floor(F.col("l_extendedprice") / 100).cast("decimal(12,2)").alias("price")), ["l_quantity", "l_discount", "l_tax"], "price", 3)
 
 
 REPLICATES = 2000
@@ -279,8 +280,8 @@ SELECT CASE grouping_id(size, election, party) WHEN 7 THEN 'all' WHEN 3 THEN 'si
     "deciding_margin": (deciding_margin, f"WITH {PRED_SQL} SELECT election, round(avg(abs(predicted - observed)), 5) AS mae, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY observed DESC, party) AS r FROM t) WHERE r <= 2 GROUP BY election"),
     "sign_flips": (sign_flips, f"WITH {PRED_SQL}, b AS (SELECT party, election % 2 AS half, round(regr_slope(observed, predicted) - 1, 5) AS b FROM t GROUP BY ALL), p AS (SELECT party, max(b) FILTER (half = 0) AS b0, max(b) FILTER (half = 1) AS b1 FROM b GROUP BY party) SELECT *, sign(b0) <> sign(b1) AS flips FROM p"),
 }
-QUERIES["ridge_moments"] = (ridge_moments, "WITH x AS (SELECT l_quantity, l_discount, l_tax, l_extendedprice / 1000 AS price FROM lineitem), m AS (" + " UNION ALL ".join(
+QUERIES["ridge_moments"] = (ridge_moments, "WITH x AS (SELECT CAST(l_quantity AS DECIMAL(12,2)) AS l_quantity, CAST(l_discount AS DECIMAL(12,2)) AS l_discount, CAST(l_tax AS DECIMAL(12,2)) AS l_tax, CAST(floor(l_extendedprice / 100) AS DECIMAL(12,2)) AS price FROM lineitem), m AS (" + " UNION ALL ".join(
     ["SELECT 'one' AS i, 'one' AS j, CAST(count(*) AS DOUBLE) AS value FROM x"]
-    + [f"SELECT 'one', '{k}', sum({k}) FROM x" for k in ("l_quantity", "l_discount", "l_tax", "price")]
-    + [f"SELECT '{a}', '{b}', sum({a} * {b}) FROM x" for n, a in enumerate(("l_quantity", "l_discount", "l_tax", "price")) for b in ("l_quantity", "l_discount", "l_tax", "price")[n:]]
-) + ") SELECT i, j, round(value, 3) AS value FROM m")
+    + [f"SELECT 'one', '{k}', CAST(round(sum({k}), 3) AS DOUBLE) FROM x" for k in ("l_quantity", "l_discount", "l_tax", "price")]
+    + [f"SELECT '{a}', '{b}', CAST(round(sum({a} * {b}), 3) AS DOUBLE) FROM x" for n, a in enumerate(("l_quantity", "l_discount", "l_tax", "price")) for b in ("l_quantity", "l_discount", "l_tax", "price")[n:]]
+) + ") SELECT i, j, value FROM m")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as t
 from quernstone.operators import dedup as d
 from quernstone.plans.dedup_queries import ART_SQL, HASH_SQL
+from quernstone.sources import markup
 from quernstone.sources.tables import table
 
 TRACK = "|".join(t.TRACKING)
@@ -54,51 +51,10 @@ def html_title_meta(spark, base):
     )
 
 
-class _Body(HTMLParser):
-    """Text of paragraphs and headings outside navigation, scripts, styles, advertisements and footers."""
-
-    SKIP = {"script", "style", "nav", "footer", "aside", "form"}
-    BLOCK = {"p", "h1", "h2", "h3", "li", "br", "div", "article", "section"}
-    VOID = {"br", "img", "meta", "link", "hr", "input"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.out, self.removed = 0, [], 0
-
-    def handle_starttag(self, tag, attrs):
-        ad = tag == "div" and "ad" in (dict(attrs).get("class") or "").split()
-        if self.depth:
-            self.depth += tag not in self.VOID and (tag in self.SKIP or tag == "div")
-        elif tag in self.SKIP or ad:
-            self.depth = 1
-        if tag in self.BLOCK:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        if self.depth and (tag in self.SKIP or tag == "div"):
-            self.depth -= 1
-
-    def handle_data(self, data):
-        if self.depth:
-            self.removed += len(data)
-        else:
-            self.out.append(data)
-
-
-def clean_html(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for i, h in zip(b["page_id"], b["html"], strict=True):
-            p = _Body()
-            p.feed(h or "")
-            lines = [" ".join(x.split()) for x in "".join(p.out).split("\n")]
-            text = "\n".join(x for x in lines if x)
-            rows.append((i, text, len(text), round(p.removed / max(1, p.removed + len(text)), 6)))
-        yield pd.DataFrame(rows, columns=["page_id", "text", "n_chars", "removed_ratio"])
-
-
 def html_clean(spark, base):
-    return table(spark, base, "pages").select("page_id", "html").mapInPandas(clean_html, "page_id long, text string, n_chars long, removed_ratio double")
+    """Pages as clean text, with what looked like furniture and stayed."""
+    out = markup.cleaned(table(spark, base, "pages"), "page_id", "html", ("main article",))
+    return out.select("page_id", "title", "body", F.size("captions").alias("captions"), "selector", "status", F.array_join("warnings", ",").alias("warnings"), F.size("kept").alias("kept"), "removed_ratio")
 
 
 def char_normalise(spark, base):

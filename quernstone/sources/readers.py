@@ -57,25 +57,6 @@ def geo_features(texts: DataFrame, text: str, name: str) -> DataFrame:
     )
 
 
-def html_table_rows(html: Column) -> Column:
-    """array<array<string>>: the cells of every table row, tags and surplus blanks removed."""
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    rows = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), plain))
-
-
-def metadata_evidence(html: Column) -> Column:
-    """array<struct<field, value, found_in>>: title and dates of a page wherever it states them, all kept in a fixed order."""
-    h = F.coalesce(html, F.lit(""))
-    wanted = [
-        ("title", "json_ld", r'(?s)<script type="application/ld\+json">.*?"headline"\s*:\s*"([^"]*)"'), ("published", "json_ld", r'(?s)<script type="application/ld\+json">.*?"datePublished"\s*:\s*"([^"]*)"'),
-        ("title", "open_graph", r'<meta property="og:title" content="([^"]*)"'), ("published", "open_graph", r'<meta property="article:published_time" content="([^"]*)"'),
-        ("published", "meta", r'<meta name="date" content="([^"]*)"'), ("published", "time", r'<time[^>]* datetime="([^"]*)"'), ("title", "title", r"(?s)<title>([^<]*)</title>"), ("language", "html", r'<html[^>]* lang="([^"]*)"'),
-    ]
-    found = [F.struct(F.lit(field).alias("field"), F.regexp_extract(h, p, 1).alias("value"), F.lit(where).alias("found_in")) for field, where, p in wanted]
-    return F.filter(F.array(*found), lambda e: e["value"] != "")
-
-
 def pick_representation(candidates: DataFrame, id_: str) -> DataFrame:
     """(id, chosen, text, alternatives): the usable candidate (id, kind, rank, text) of the least rank, and the other usable kinds."""
     usable = candidates.where(F.length(F.trim("text")) > 0)

@@ -16,7 +16,7 @@ def test_query_equals_sql(name, same):
 
 
 def test_queries_without_sql_are_known():
-    assert set(catalogue.queries()) - set(PAIRS) == {"pair_seq_ratio", "html_clean", "version_paragraphs"}
+    assert set(catalogue.queries()) - set(PAIRS) == {"pair_seq_ratio", "html_clean", "version_paragraphs", "boosted_contributions"}
 
 
 def test_entry_runs(spark):
@@ -50,12 +50,3 @@ def test_sequence_ratio_is_symmetric_for_equal_texts(spark):
     art = spark.createDataFrame([(1, "abc def"), (2, "abc def"), (3, "xyz")], "doc_id long, body string")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     assert {(r["a"], r["b"]): r["seq_ratio"] for r in dedup.sequence_ratio(pairs, art).collect()} == {(1, 2): 1.0, (1, 3): 0.0}
-
-
-def test_html_clean_drops_furniture(spark):
-    page = '<html><body><nav><a>menu</a></nav><div class="ad">buy <div>now</div></div><p>Hello &amp; <b>bye</b></p><script>x("</p>")</script><footer>c</footer></body></html>'
-    from quernstone.plans.text_queries import clean_html
-
-    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
-    got = {r["page_id"]: r["text"] for r in df.mapInPandas(clean_html, "page_id long, text string, n_chars long, removed_ratio double").collect()}
-    assert got == {1: "Hello & bye", 2: "", 3: ""}

@@ -30,12 +30,6 @@ def test_unknown_settings_are_refused():
         readers.RunConfig.load({"start": "2000-01-01"})
 
 
-def test_html_tables_with_odd_markup(spark):
-    html = "<TABLE><tr class=x><TH>a\n b</TH><td> 1 <br>2</td></tr><tr></tr></TABLE>"
-    df = spark.createDataFrame([(html,), (None,)], "h string")
-    assert [r[0] for r in df.select(readers.html_table_rows(F.col("h"))).collect()] == [[["a b", "1 2"], []], []]
-
-
 def test_geojson_parts_merge_by_name(spark):
     two = '{"features":[{"properties":{"name":"A"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,-1.5]]]}},{"properties":{"name":"A"},"geometry":{"type":"MultiPolygon","coordinates":[[[[5,5],[6,7]]]]}}]}'
     r = readers.geo_features(spark.createDataFrame([(two,), ("{}",), (None,)], "t string"), "t", "name").collect()
