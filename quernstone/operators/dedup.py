@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 from quernstone.functions import text as t
 from quernstone.plans.durable import durable
 
-#: Thresholds of the near-duplicate classes.
-MIN_WORDS, BUCKET, SHARED = 80, (2, 50), 6
+#: Thresholds of blocking and of the near-duplicate classes (SLICE is this engine's own).
+MIN_WORDS, SHARED = 80, 6
+TITLE_BUCKET, TITLE_SHARED = (2, 30), 4
+SLICE = 500
 HIGH, PROBABLE, GREY, CONTAINED, SHORTER = 0.70, 0.45, 0.25, 0.85, 0.75
 
 
@@ -62,18 +64,42 @@ def members(f: DataFrame) -> DataFrame:
     return f.where((F.col("rep") != F.col("doc_id")) & (F.size("s") > 0) & (F.col("words") >= MIN_WORDS)).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
 
-def candidate_pairs(f: DataFrame, bucket: tuple[int, int] = BUCKET) -> DataFrame:
-    """(a, b, shared): pairs of representatives whose sketches share SHARED hashes that stand in ``bucket`` representatives.
+def within_postings(posts: DataFrame, key: str, slice_rows: int = SLICE) -> DataFrame:
+    """(a, b), a < b: pairs of ids that stand under a common ``key`` of ``posts`` (id, key, n: rows of the key), repeated by key.
 
-    The bound is applied to posting counts before the self join, which keeps the join linear. Copies of one body
-    count once, so a family of equal bodies of any size is found through its representative.
+    A posting is dealt over slices of about ``slice_rows`` rows and every two slices meet in a cell of their own, so no task meets
+    more than two slices, whatever the posting's length. Pairs within a slice are told in its own cell only.
     """
-    own = f.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.explode(t.sketch(F.col("s"))).alias("h"))
-    posts = durable(own.select("id", F.conv("h", 16, -10).cast("long").alias("h")))
-    sizes = posts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n").between(*bucket))
-    kept = posts.join(sizes, "h").select("id", "h")
-    pairs = kept.select(F.col("id").alias("a"), "h").join(kept.select(F.col("id").alias("b"), "h"), "h").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
+    slices = F.ceil(F.col("n") / slice_rows).cast("int")
+    cut = posts.withColumn("slices_", slices).withColumn("at_", F.pmod(F.xxhash64("id"), F.col("slices_")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("slices_") - 1), lambda t: F.struct(F.least("at_", t).alias("i"), F.greatest("at_", t).alias("j")))
+    cells = cut.withColumn("cell_", F.explode(met)).select("id", key, "at_", "cell_.i", "cell_.j")
+    side = lambda name: cells.select(F.col("id").alias(name), F.col("at_").alias(f"{name}_at"), key, "i", "j")
+    pairs = side("a").join(side("b"), [key, "i", "j"]).where("a < b").where((F.col("i") == F.col("j")) | (F.col("a_at") != F.col("b_at")))
+    return pairs.select("a", "b")
+
+
+def candidate_pairs(f: DataFrame, least: int = SHARED, title_bucket: tuple[int, int] = TITLE_BUCKET, title_least: int = TITLE_SHARED, slice_rows: int = SLICE) -> DataFrame:
+    """(a, b, shared): pairs of representatives whose sketches share ``least`` hashes, or whose titles share ``title_least`` of those
+    informative words that stand in ``title_bucket`` titles.
+
+    No hash is too common: of a representative's hashes, rarest first, all but the last ``least`` - 1 are posted (two sketches that share
+    ``least`` share one of these on both sides), long postings meet slice by slice, and the pairs found are verified on whole sketches.
+    Copies of one body count once, so a family of equal bodies of any size is found through its representative.
+    """
+    own = durable(f.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.transform(t.sketch(F.col("s")), lambda h: F.conv(h, 16, -10).cast("long")).alias("k"), "tt"))
+    posts = own.select("id", F.explode("k").alias("h"))
+    sizes = posts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("id")
+    ranked = posts.join(sizes, "h").withColumn("rank_", F.row_number().over(mine.orderBy("n", "h"))).withColumn("of_", F.count("*").over(mine))
+    found = within_postings(durable(ranked.where(F.col("rank_") <= F.col("of_") - (least - 1)).select("id", "h", "n")), "h", slice_rows).distinct()
+    words = own.select("id", F.explode("tt").alias("w"))
+    common = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n").between(*title_bucket))
+    titled = within_postings(words.join(common, "w"), "w").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= title_least)
+    both = found.withColumn("titled", F.lit(False)).union(titled.select("a", "b", F.lit(True))).groupBy("a", "b").agg(F.max("titled").alias("titled"))
+    sketch = lambda name: own.select(F.col("id").alias(name), F.col("k").alias(f"{name}_k"))
+    shared = both.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "titled", F.size(F.array_intersect("a_k", "b_k")).cast("long").alias("shared"))
+    return shared.where((F.col("shared") >= least) | F.col("titled")).drop("titled")
 
 
 def pair_scores(pairs: DataFrame, f: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.operators import audits as a
+from quernstone.operators import dictionary
 from quernstone.operators import rules as r
 from quernstone.plans.contest_queries import ALLOCATED_SQL, VOTES_SQL, allocated, votes
 from quernstone.plans.durable import durable, join_small
@@ -47,6 +48,21 @@ def reference_integrity(spark, base):
     )
 
 
+def reference_rings(spark, base):
+    """Every supplier refers to the one that shares most orders with it: which of these references lead back to where they start."""
+    li = table(spark, base, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    both = li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").where("l_suppkey <> other").groupBy("l_suppkey", "other").agg(F.count("*").alias("n"))
+    top = both.groupBy("l_suppkey").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("partner"))
+    return a.circular(top, "l_suppkey", "partner").withColumnRenamed("to", "partner")
+
+
+def dictionary_evidence(spark, base):
+    """Documents that hold the first four words of a benchmark item, with the sentences in which they begin, by digest."""
+    item = table(spark, base, "benchmark").select("item_id", F.array_join(F.slice(dictionary.words(F.col("text")), 1, 4), " ").alias("alias"))
+    found = dictionary.matches(table(spark, base, "documents"), "doc_id", "text", item, "item_id", "alias")
+    return found.select("doc_id", F.col("entity").alias("item_id"), "alias", "sentence_no", "word", F.sha2("sentence", 256).alias("sentence_sha256"))
+
+
 def seat_date_validation(spark, base):
     """Contests whose seats or dates do not hold together, by reason, with the smallest offender."""
     x = allocated(spark, base).groupBy("contest").agg(F.count("*").alias("entries"), F.count(F.when(F.col("observed"), 1)).alias("elected"))
@@ -305,7 +321,12 @@ QUERIES = {
  UNION ALL SELECT 'sets', 'left_only', count(*) FILTER (li.id IS NULL), count(*) FROM (SELECT id FROM x WHERE lines > 0) l FULL JOIN li ON l.id = li.id UNION ALL SELECT 'sets', 'right_only', count(*) FILTER (l.id IS NULL), count(*) FROM (SELECT id FROM x WHERE lines > 0) l FULL JOIN li ON l.id = li.id UNION ALL SELECT 'columns', 'outcome_named', 0, 12"""),
     "reference_integrity": (reference_integrity, """WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first FROM documents), r AS (SELECT * FROM d WHERE first <> doc_id) SELECT 'documents' AS layer, 'repeated_key' AS gate, (SELECT count(*) FROM (SELECT 1 FROM d GROUP BY doc_id HAVING count(*) > 1)) AS violations, count(*) AS rows FROM d UNION ALL SELECT 'documents', 'null_key', 0, count(*) FROM d
  UNION ALL SELECT 'labels', 'left_only', count(*) FILTER (d.doc_id IS NULL), count(*) FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN d ON l.doc_id = d.doc_id UNION ALL SELECT 'labels', 'right_only', count(*) FILTER (l.doc_id IS NULL), count(*) FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN d ON l.doc_id = d.doc_id
- UNION ALL SELECT 'clusters', 'dangling', 0, count(*) FROM r UNION ALL SELECT 'clusters', 'self', 0, count(*) FROM r UNION ALL SELECT 'clusters', 'mutual', (SELECT count(*) FROM r x JOIN r y ON x.doc_id = y.first AND x.first = y.doc_id), count(*) FROM r"""),
+ UNION ALL SELECT 'clusters', 'circular', (SELECT count(*) FROM r x JOIN r y ON x.first = y.doc_id), count(*) FROM r UNION ALL SELECT 'clusters', 'dangling', 0, count(*) FROM r UNION ALL SELECT 'clusters', 'self', 0, count(*) FROM r UNION ALL SELECT 'clusters', 'mutual', (SELECT count(*) FROM r x JOIN r y ON x.doc_id = y.first AND x.first = y.doc_id), count(*) FROM r"""),
+    "reference_rings": (reference_rings, """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), b AS (SELECT x.l_suppkey AS node, y.l_suppkey AS other, count(*) AS n FROM l x JOIN l y USING (l_orderkey) WHERE x.l_suppkey <> y.l_suppkey GROUP BY ALL),
+ f AS MATERIALIZED (SELECT node, first(other ORDER BY n DESC, other) AS partner FROM b GROUP BY node), w(origin, place) AS (SELECT node, partner FROM f UNION SELECT origin, f.partner FROM w JOIN f ON w.place = f.node) SELECT node, partner, node IN (SELECT origin FROM w WHERE origin = place) AS on_cycle FROM f"""),
+    "dictionary_evidence": (dictionary_evidence, r"""WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')[1:4] AS a FROM benchmark), d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS s FROM documents),
+ n AS (SELECT doc_id, k - 1 AS sentence_no, s[k] AS sentence, regexp_extract_all(lower(s[k]), '[\p{L}\p{N}]+') AS own, regexp_extract_all(lower(array_to_string(s[k:k + 3], ' ')), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM d)),
+ p AS (SELECT doc_id, sentence_no, sentence, j - 1 AS word, w[j:j + 3] AS g FROM (SELECT *, unnest(range(1, len(own) + 1)) AS j FROM n)) SELECT doc_id, item_id, array_to_string(a, ' ') AS alias, sentence_no, word, sha256(sentence) AS sentence_sha256 FROM p JOIN i ON g[1:len(a)] = a WHERE len(a) > 0"""),
     "seat_date_validation": (seat_date_validation, f"""WITH {ALLOCATED_SQL}, {FACT_SQL}, c AS (SELECT contest, count(*) AS entries, count(*) FILTER (observed) AS elected, CASE WHEN contest % 11 = 0 THEN NULL ELSE 1 + contest % 3 END AS seats FROM a GROUP BY contest), y AS (SELECT c.*, day, first_ship FROM c LEFT JOIN f ON contest = id),
  e AS (SELECT contest, unnest(list_filter([CASE WHEN seats IS NULL THEN 'seats_unknown' END, CASE WHEN seats >= entries THEN 'uncontested' END, CASE WHEN seats IS NOT NULL AND elected <> least(seats, entries) OR seats IS NULL AND elected <> entries THEN 'elected_differs_from_seats' END, CASE WHEN day IS NULL THEN 'date_missing' END, CASE WHEN first_ship < day THEN 'date_order' END, CASE WHEN dayofweek(day) IN (0, 6) THEN 'weekend' END], lambda x: x IS NOT NULL)) AS reason FROM y) SELECT reason, count(*) AS contests, min(contest) AS first_offender FROM e GROUP BY 1"""),
     "ward_assertions": (ward_assertions, f"WITH {VOTES_SQL}, x AS (SELECT *, 100 * votes / sum(votes) OVER w AS share, sum(votes) OVER w AS whole FROM votes WINDOW w AS (PARTITION BY contest)) SELECT 'wards' AS layer, unnest(['negative_votes', 'share_out_of_range', 'votes_above_whole', 'strength_below_votes']) AS gate, unnest([count(*) FILTER (votes < 0), count(*) FILTER (NOT share BETWEEN 0 AND 100), count(*) FILTER (votes > whole), count(*) FILTER (strength < votes)]) AS violations, count(*) AS rows FROM x UNION ALL SELECT 'contests', 'shares_do_not_sum', count(*) FILTER (abs(s - 100) > 1e-6), count(*) FROM (SELECT sum(share) AS s FROM x GROUP BY contest)"),

@@ -21,8 +21,9 @@ ex AS (SELECT doc_id, source, h.body_hash, h.title_hash, CASE WHEN h.body_hash =
 SH_SQL = f"""{ART_SQL}, tk AS MATERIALIZED (SELECT *, regexp_extract_all(lower(body), '[a-z0-9'']+') AS tk, regexp_extract_all(lower(title), '[a-z0-9'']+') AS tt, len(list_filter(regexp_split_to_array(body, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS w FROM art),
 sh AS MATERIALIZED (SELECT *, CASE WHEN len(tk) >= {t.SHINGLE_WORDS} THEN list_distinct(list_transform(range(1, len(tk) - {t.SHINGLE_WORDS - 2}), lambda i: substr(sha1(array_to_string(list_slice(tk, i, i + {t.SHINGLE_WORDS - 1}), ' ')), 1, 16))) ELSE [] END AS s,
   list_distinct(list_filter(tt, lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(x) for x in t.STOP)}))) AS ti, min(doc_id) OVER (PARTITION BY body) AS rep FROM tk)"""
-PAIR_SQL = f"""{SH_SQL}, po AS MATERIALIZED (SELECT doc_id, unnest(list_slice(list_sort(s), 1, {t.SKETCH_SIZE})) AS h FROM sh WHERE doc_id = rep), bk AS (SELECT h FROM po GROUP BY h HAVING count(*) BETWEEN {d.BUCKET[0]} AND {d.BUCKET[1]}),
-kp AS (SELECT doc_id, h FROM po JOIN bk USING (h)), pr AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM kp x JOIN kp y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= {d.SHARED})"""
+PAIR_SQL = f"""{SH_SQL}, po AS MATERIALIZED (SELECT doc_id, unnest(list_slice(list_sort(s), 1, {t.SKETCH_SIZE})) AS h FROM sh WHERE doc_id = rep), hp AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM po x JOIN po y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+tp AS MATERIALIZED (SELECT doc_id, unnest(ti) AS k FROM sh WHERE doc_id = rep), tc AS (SELECT k FROM tp GROUP BY k HAVING count(*) BETWEEN {d.TITLE_BUCKET[0]} AND {d.TITLE_BUCKET[1]}), tq AS (SELECT doc_id, k FROM tp JOIN tc USING (k)),
+ht AS (SELECT x.doc_id AS a, y.doc_id AS b, true AS titled FROM tq x JOIN tq y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= {d.TITLE_SHARED}), pr AS MATERIALIZED (SELECT a, b, coalesce(shared, 0) AS shared FROM hp FULL JOIN ht USING (a, b) WHERE shared >= {d.SHARED} OR titled)"""
 SCORE_SQL = f"""{PAIR_SQL}, i AS (SELECT a, b, shared, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS na, len(y.s) AS nb, len(list_intersect(x.ti, y.ti)) AS ti, len(x.ti) AS ta, len(y.ti) AS tb, x.w AS words_a, y.w AS words_b, x.source AS sa, y.source AS sb FROM pr JOIN sh x ON a = x.doc_id JOIN sh y ON b = y.doc_id),
 sc AS (SELECT a, b, shared, round(i / greatest(na + nb - i, 1), 4) AS jaccard, round(i / greatest(least(na, nb), 1), 4) AS containment, round(ti / greatest(ta + tb - ti, 1), 4) AS title_sim, round(least(words_a, words_b) / greatest(words_a, words_b, 1), 4) AS length_ratio, CAST(words_a AS BIGINT) AS words_a, CAST(words_b AS BIGINT) AS words_b, sa, sb FROM i),
 cl AS MATERIALIZED (SELECT *, CASE WHEN least(words_a, words_b) < {d.MIN_WORDS} AND containment >= {d.CONTAINED} THEN 'manual_review' WHEN least(words_a, words_b) < {d.MIN_WORDS} THEN 'not_near_duplicate' WHEN containment >= {d.CONTAINED} AND length_ratio <= {d.SHORTER} THEN 'partial_full_text_match'
