@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.text import fresh
 from quernstone.plans.durable import durable
 
 CHARS_PER_EDIT = 12
 SHARD_CHARS = 4_000_000
+GRAM, FEW = 5, 8
 
 
 def normal(text: Column) -> Column:
@@ -69,15 +69,20 @@ def myers(item: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
 
 
 class Matcher:
+    """Finds items in texts. Occurrences are kept as ranges per piece, not per item, so a piece that many items share and that a text
+    repeats costs its occurrences once; and where several items might stand in a text, those that lack too many of their GRAM-character parts there
+    (an edit spoils GRAM of them at most) are dismissed before any distance is computed."""
+
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in items if t]
         posts: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             for at, piece in pieces(t, k):
                 posts.setdefault(piece, []).append((n, at))
+        self.posts = [(len(piece), at, max(len(self.items[n][1]) + 2 * self.items[n][2] for n, _ in at), [n for n, _ in at if not self.items[n][2]]) for piece, at in posts.items()]
         self.machine = ahocorasick.Automaton()
-        for piece, at in posts.items():
-            self.machine.add_word(piece, (len(piece), at))
+        for number, piece in enumerate(posts):
+            self.machine.add_word(piece, number)
         if posts:
             self.machine.make_automaton()
         self.masks: dict[int, dict[str, int]] = {}
@@ -90,34 +95,52 @@ class Matcher:
             self.masks[n] = out
         return self.masks[n]
 
+    def _ranges(self, text: str) -> tuple[dict[int, list[list[int]]], dict[int, int]]:
+        """(ranges of ends by piece, a gap within them never longer than the items' reach; the end of each item without an edit where it stands as whole words)."""
+        ranges: dict[int, list[list[int]]] = {}
+        whole: dict[int, int] = {}
+        for end, number in self.machine.iter(text):
+            size, _, reach, exact = self.posts[number]
+            own = ranges.setdefault(number, [])
+            if own and end - own[-1][1] <= reach:
+                own[-1][1] = end
+            else:
+                own.append([end, end])
+            if exact and exact[0] not in whole and (end + 1 == len(text) or text[end + 1] == " ") and (end + 1 == size or text[end - size] == " "):
+                whole.update(dict.fromkeys(exact, end + 1))
+        return ranges, whole
+
+    def _likely(self, text: str, among: list[int]) -> list[int]:
+        """The items of ``among`` that have enough of their parts in the text."""
+        parts = {n: [self.items[n][1][i : i + GRAM] for i in range(len(self.items[n][1]) - GRAM + 1)] for n in among}
+        wanted = {p for own in parts.values() for p in own}
+        there = {p for i in range(len(text) - GRAM + 1) if (p := text[i : i + GRAM]) in wanted}
+        return [n for n in among if sum(p in there for p in parts[n]) >= len(parts[n]) - GRAM * self.items[n][2]]
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, budget, end) of every item within its budget."""
         if not self.items or not text:
             return []
-        spans: dict[int, list[int]] = {}
-        for end, (size, posts) in self.machine.iter(text):
-            for n, at in posts:
-                spans.setdefault(n, []).append(end + 1 - size - at)
+        ranges, whole = self._ranges(text)
         best: dict[int, tuple[int, int, int]] = {}
-        for n, starts in spans.items():
+        for n, end in sorted(whole.items()):
+            best.setdefault(self.items[n][0], (0, 0, end))
+        spots: dict[int, list[tuple[int, int]]] = {}
+        for number in ranges:
+            for n, at in self.posts[number][1]:
+                if self.items[n][2]:
+                    spots.setdefault(n, []).append((number, at))
+        among = list(spots) if len(spots) <= FEW else self._likely(text, list(spots))
+        for n in sorted(among):
             i, item, k = self.items[n]
-            if not k:
-                whole = lambda s, e: (s == 0 or text[s - 1] == " ") and (e == len(text) or text[e] == " ")
-                at = next((s for s in starts if whole(s, s + len(item))), None)
-                if at is not None and i not in best or at is not None and best[i][0]:
-                    best[i] = (0, 0, at + len(item))
-                continue
-            lo = hi = None
-            stretches = []
-            for s in sorted(starts):
-                a, b = max(0, s - k), min(len(text), s + len(item) + k)
-                if hi is not None and a <= hi:
-                    hi = max(hi, b)
+            starts = sorted((lo + 1 - self.posts[p][0] - at, hi + 1 - self.posts[p][0] - at) for p, at in spots[n] for lo, hi in ranges[p])
+            stretches: list[list[int]] = []
+            for lo, hi in starts:
+                a, b = max(0, lo - k), min(len(text), hi + len(item) + k)
+                if stretches and a <= stretches[-1][1]:
+                    stretches[-1][1] = max(stretches[-1][1], b)
                 else:
-                    if hi is not None:
-                        stretches.append((lo, hi))
-                    lo, hi = a, b
-            stretches.append((lo, hi))
+                    stretches.append([a, b])
             for a, b in stretches:
                 at = text.find(item, a, b)
                 d, end = (0, at - a + len(item)) if at >= 0 else myers(item, text[a:b], self._masks(n))
@@ -176,8 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_P
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns unchanged."""
-    (name,) = fresh(docs, "normal_text")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]  # any name reaches the tasks and comes back
 
     def scan(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,5 +210,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int
 
         return rows.mapInArrow(run, rows.schema)
 
-    parts = over_shards(docs.select(*columns, normal(F.col("text")).alias(name)), benchmark, scan, True)
-    return parts[-1].select(*columns) if parts else docs
+    parts = over_shards(docs.select(*columns, normal(F.col("text")).alias("normal")), benchmark, scan, True)
+    return parts[-1].drop("normal").toDF(*docs.columns) if parts else docs

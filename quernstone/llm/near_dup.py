@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.shingles import mix, shingle_sets
@@ -238,6 +238,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row's whole content; columns that cannot be hashed (maps and variants, also within others) go by their JSON."""
+    odd = lambda f: "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if odd(f) else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the members of a class other than its smallest doc_id, and without repeats; columns unchanged."""
     gone, own = fresh(docs, "gone_id", "own_id")
@@ -249,5 +255,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
         return left
     columns = [F.col(f"`{c}`") for c in docs.columns]
     again = left.join(often, id_ == F.col(own), "left_semi")
-    one = again.groupBy(F.col("doc_id"), F.xxhash64("text"), F.sha2("text", 256)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(own))
+    one = again.groupBy(F.col("doc_id"), F.xxhash64("text"), F.sha2("text", 256)).agg(F.min_by(F.struct(*columns), row_hash(again)).alias(own))
     return left.join(often, id_ == F.col(own), "left_anti").unionByName(one.select(f"{own}.*"))

@@ -88,8 +88,8 @@ def _in_word(x: Column, before2: Column, before: Column) -> Column:
 
         def each(v: Column, f: Column, k: Column, n: Column) -> Column:
             own = ~(f["name"] & (k == n - 1))
-            a, b, issued = f["assigned"] & own, f["named"] & own, v.rlike(ISSUED)
-            marks = (f["marked"] | v.rlike("/.*/")) & ~issued & ~(a & b)
+            a, b = f["assigned"] & own, f["named"] & own
+            marks = f["marked"] | v.rlike("/.*/")
             return F.struct(v.alias("value"), a.alias("assigned"), b.alias("named_before"), marks.alias("path_marks"), (~own | (url & ~b)).alias("aside"))
 
         return let(values, lambda vs: let(flags, lambda f: F.transform(vs, lambda v, k: each(v, f, k, F.size(vs)))))
@@ -98,7 +98,7 @@ def _in_word(x: Column, before2: Column, before: Column) -> Column:
 
 
 def candidates(docs: DataFrame, prefilter: str = MAYBE) -> DataFrame:
-    """For every candidate: doc_id, place, nth (number of its key run in the word, from 0), value, and flags of its
+    """For every candidate: doc_id, text_key (a hash of its whole text), place, nth (number of its key run in the word, from 0), value, and flags of its
     word and neighbours: assigned, named_before, path_marks, aside (unnamed in a URL, or itself the name of a value), plain_before, plain_after.
     ``prefilter`` passes every text that holds one; it only saves the splitting of the others."""
     plain = lambda c: c.rlike(r"^\p{L}+[.,]?$")
@@ -126,7 +126,7 @@ def candidates(docs: DataFrame, prefilter: str = MAYBE) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(prefilter))
     words = F.split("text", r"\s+")
-    return rows.select("doc_id", F.explode(let(words, found)).alias("c")).select("doc_id", "c.*")
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_key"), F.explode(let(words, found)).alias("c")).select("doc_id", "text_key", "c.*")
 
 
 def letter_runs(value: Column) -> Column:
@@ -215,11 +215,15 @@ def judge(found: DataFrame, known: DataFrame) -> DataFrame:
     return model.transform(pack.transform(found)).withColumn("probability", F.round(vector_to_array("probability")[1], 9))
 
 
+def judged(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Every candidate with its text_key, features, probability and is_secret."""
+    found = features(docs)
+    return judge(found, labelled_findings(found, labelled)).withColumn("is_secret", F.col("probability") > THRESHOLD)
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, place, nth, value, probability, is_secret for every candidate."""
-    found = features(docs)
-    judged = judge(found, labelled_findings(found, labelled))
-    return judged.select("doc_id", "place", "nth", "value", "probability", (F.col("probability") > THRESHOLD).alias("is_secret"))
+    return judged(docs, labelled).select("doc_id", "place", "nth", "value", "probability", "is_secret")
 
 
 def held_out(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -233,12 +237,13 @@ def held_out(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by MASK; other columns unchanged but for n_chars, which
-    follows the text. Documents that the first pattern passes by are not joined with anything."""
-    (secrets,) = fresh(docs, "secrets")
-    (own,) = fresh(docs.withColumn(secrets, F.lit(None)), "own_id")
-    bad = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("value").alias(secrets))
+    follows the text. Secrets are looked for in the text that holds them: rows without an id, or with the same one, do not share theirs.
+    Documents that the first pattern passes by are not joined with anything."""
+    secrets, own, key = fresh(docs, "secrets", "own_id", "text_key")
+    found = judged(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key)).agg(F.collect_set("value").alias(secrets))
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    hit = docs.where(maybe).join(durable(bad), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    bad = durable(found)
+    hit = docs.where(maybe).join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.sha2("text", 256) == F.col(key)), "left")
     longest = F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
     clean = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["s"], F.lit(MASK))))
     rows = hit.withColumn("text", clean)

@@ -208,6 +208,8 @@ def test_every_stage_takes_edge_rows(spark, tmp_path):
     df = frame(spark, made)
     for c in CLASH:
         df = df.withColumn(c, F.lit(1))
+    odd = {"a.b": F.lit("dotted"), "c 1": F.lit(2), "a map": F.create_map(F.lit("k"), F.col("doc_id")), "deep": F.array(F.struct(F.create_map(F.lit(1), F.lit("x")).alias("m.n"))), "any": F.parse_json(F.lit('{"a": 1}')), "when": F.current_date()}
+    df = df.withColumns(odd)
     spark.createDataFrame([(1, None), (2, "no such item anywhere here"), (2, "no such item anywhere here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = {"quality_rules": 4, "near_duplicates": 8, "decontamination": 9, "secret_scans": 9, "bpe": 9}
     for name, stage in corpus_pipeline.STAGES:
@@ -218,6 +220,30 @@ def test_every_stage_takes_edge_rows(spark, tmp_path):
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_rows_without_an_id_keep_their_secrets_apart(spark):
+    """A password in one row is an ordinary word in another one with a null or the same id."""
+    rows = [(None, "password=hunter2abc now"), (None, "the word hunter2abc is plain"), (3, "password=hunter3abc now"), (3, "the word hunter3abc is plain"), (None, "password=hunter2abc now")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["text"] for r in STAGES["secret_scans"](spark, df, "").collect())
+    assert got == sorted(["password=[SECRET] now"] * 3 + ["the word hunter2abc is plain", "the word hunter3abc is plain"])
+
+
+def test_pieces_that_many_items_share():
+    """2,000 items with one piece in common, and a text that repeats it: quick, small, and no item is lost."""
+    import time
+
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    items = [(i, " ".join([word(11), "sharedpiece", *[word(11) for _ in range(5)]])) for i in range(2000)]
+    matcher = decontamination.Matcher(items, 12)
+    text = " ".join("sharedpiece " + word(5) for _ in range(55_000))
+    began = time.perf_counter()
+    assert matcher.find(text) == []
+    held = text[:500_000] + " " + items[7][1].replace("a", "b", 1) + " " + text[500_000:] + " " + items[9][1]
+    assert {(i, d) for i, d, _, _ in matcher.find(held)} == {(7, 1), (9, 0)}
+    assert time.perf_counter() - began < 30
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
