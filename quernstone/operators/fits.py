@@ -6,6 +6,10 @@ earlier ones, is a subtraction or a running sum of a few rows, and every fold is
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 NAMES = ["n", "s1", "s2", "s3", "sy", "p11", "p12", "p13", "p22", "p23", "p33", "q1", "q2", "q3", "yy"]
 _SUMS = ["count(*)", "sum(x1)", "sum(x2)", "sum(x3)", "sum(y)", "sum(x1 * x1)", "sum(x1 * x2)", "sum(x1 * x3)", "sum(x2 * x2)", "sum(x2 * x3)", "sum(x3 * x3)", "sum(x1 * y)", "sum(x2 * y)", "sum(x3 * y)", "sum(y * y)"]
 #: SQL aggregates that make the moments of a group.
@@ -44,3 +48,36 @@ def solved(df, penalty: str = "penalty"):
 def solved_sql(source: str, name: str, penalty: str = "penalty") -> str:
     """The CTEs of ``solved`` over ``source``; the last is ``name``."""
     return f"{name}_c AS (SELECT *, {', '.join(centred(penalty))} FROM {source}), {name}_w AS (SELECT *, {', '.join(WEIGHTS)} FROM {name}_c), {name} AS (SELECT *, {INTERCEPT} FROM {name}_w)"
+
+
+def pooled_fit(df: DataFrame, columns: list[str], y: str, group: str, fixed: float, pooled: float) -> tuple[dict[str, float], DataFrame]:
+    """A share model with two penalties: ``fixed`` on the columns' weights, ``pooled`` on one effect per ``group``; the intercept is free.
+
+    Returns the intercept and weights, and (group, n, effect, own_weight) with own_weight = n / (n + pooled), the part of an effect that comes from the
+    group's own rows. The effects are eliminated: given the rest, a group's effect is its residuals' sum over n + pooled, which leaves a system of one row per column.
+    It is made of sums by group (one row per group, which may be many) and their totals, so nothing but that system reaches the driver.
+    Rows with a null in y or a column are left out; null is a group of its own; no rows give weights of 0 and no groups.
+    """
+    if fixed < 0 or pooled < 0:
+        raise ValueError("penalties must not be negative")
+    names = ["one", *columns]
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    rows = df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)]).dropna(subset=["y", *[f"x{i}" for i in range(len(x))]])
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    z = lambda i: F.col(f"x{i}")
+    per = rows.groupBy("g").agg(
+        F.count("*").alias("n"), F.sum("y").alias("sy"), *[F.sum(z(i)).alias(f"s{i}") for i in range(len(x))],
+        *[F.sum(z(i) * z(j)).alias(f"p{i}_{j}") for i, j in pairs], *[F.sum(z(i) * F.col("y")).alias(f"q{i}") for i in range(len(x))],
+    )
+    less = 1 / (F.col("n") + F.lit(float(pooled)))
+    left = per.agg(
+        *[F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") * less).alias(f"p{i}_{j}") for i, j in pairs],
+        *[F.sum(F.col(f"q{i}") - F.col(f"s{i}") * F.col("sy") * less).alias(f"q{i}") for i in range(len(x))],
+    ).first()
+    a, b = np.zeros((len(x), len(x))), np.array([left[f"q{i}"] or 0.0 for i in range(len(x))])
+    for i, j in pairs:
+        a[i, j] = a[j, i] = left[f"p{i}_{j}"] or 0.0
+    w = np.linalg.lstsq(a + fixed * np.diag([0.0] + [1.0] * len(columns)), b, rcond=None)[0]
+    residual = F.col("sy") - sum((F.lit(float(v)) * F.col(f"s{i}") for i, v in enumerate(w)), F.lit(0.0))
+    effects = per.select(F.col("g").alias(group), "n", (residual * less).alias("effect"), (F.col("n") * less).alias("own_weight"))
+    return dict(zip(names, map(float, w), strict=True)), effects

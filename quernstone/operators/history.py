@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.plans.ranges import carried
+
 DAYS_PER_YEAR = 365.25
 
 
@@ -25,13 +27,14 @@ def previous_next(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
 def as_of(facts: DataFrame, states: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """The latest state strictly before each fact, by one ordered pass over both (no range join).
 
-    States sort after facts of the same moment, so a fact never sees its own moment's state.
+    States sort after facts of the same moment, so a fact never sees its own moment's state. Both are dealt by ranges of key and moment and the last state is
+    carried from range to range, so a key with a third of all rows is spread over tasks. Of equal moments the greatest value holds; null states are none; repeated facts
+    each keep their row.
     """
     left = facts.withColumn("__t", F.col(at)).withColumn("__k", F.lit(0)).withColumn("__v", F.lit(None).cast(states.schema[value].dataType))
     right = states.select(F.col(key), F.col(since).alias("__t"), F.lit(1).alias("__k"), F.col(value).alias("__v"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("__t", "__k", "__v").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("as_of", F.last("__v", ignorenulls=True).over(w))
+    seen = carried(both, key, ["__t", "__k"], "__v", "as_of")
     return seen.where("__k = 0").drop("__t", "__k", "__v")
 
 

@@ -194,7 +194,7 @@ def version_pair_changes(spark, base):
     """Same-source near pairs: did title, numbers or quoted parts change, and how many paragraphs came and went."""
     a = art(spark, base)
     nums = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit("([0-9]+)"), F.lit(1))))
-    quotes = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit('("[^"]+")'), F.lit(1))))
+    quotes = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit('("[^"]+"|“[^”]+”)'), F.lit(1))))
     f = a.select("doc_id", "source", "title", nums.alias("n"), quotes.alias("q"), F.array_distinct(F.filter(F.transform("paragraphs", lambda x: F.trim(x)), lambda p: p != "")).alias("p"))
     x = d.candidate_pairs(d.features(a)).select("a", "b")
     for s in "ab":
@@ -233,6 +233,6 @@ FROM ex LEFT JOIN mb ON mb.id = ex.doc_id LEFT JOIN cn ON cn.family = mb.family"
     "shared_long_paragraphs": (shared_long_paragraphs, f"WITH {PAIR_SQL}, pg AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 40)) AS p FROM art), x AS (SELECT a, b, list_intersect(u.p, v.p) AS s FROM pr JOIN pg u ON a = u.doc_id JOIN pg v ON b = v.doc_id) SELECT a, b, CAST(len(s) AS BIGINT) AS paragraphs, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS chars FROM x"),
     "attribution_markers": (attribution_markers, f"WITH {ART_SQL}, m AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(body), '({MARKERS})', 1))) AS m FROM art) SELECT doc_id, array_to_string(m, ',') AS markers, CAST(len(m) AS BIGINT) AS n FROM m"),
     "cross_source_classes": (cross_source_classes, f"WITH {SCORE_SQL} SELECT CASE WHEN jaccard >= 0.7 THEN 'syndicated_copy' WHEN containment >= 0.5 THEN 'shared_release' ELSE 'independent' END AS kind, count(*) AS pairs FROM cl WHERE sa <> sb GROUP BY 1"),
-    "version_pair_changes": (version_pair_changes, f"WITH {PAIR_SQL}, f AS (SELECT doc_id, source, title, list_sort(list_distinct(regexp_extract_all(body, '[0-9]+'))) AS n, list_sort(list_distinct(regexp_extract_all(body, '\"[^\"]+\"'))) AS q, list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS p FROM art) SELECT a, b, u.title <> v.title AS title_changed, u.n <> v.n AS numbers_changed, u.q <> v.q AS quotes_changed, CAST(len(list_filter(v.p, lambda x: NOT list_contains(u.p, x))) AS BIGINT) AS added, CAST(len(list_filter(u.p, lambda x: NOT list_contains(v.p, x))) AS BIGINT) AS deleted FROM pr JOIN f u ON a = u.doc_id JOIN f v ON b = v.doc_id WHERE u.source = v.source"),
+    "version_pair_changes": (version_pair_changes, f"WITH {PAIR_SQL}, f AS (SELECT doc_id, source, title, list_sort(list_distinct(regexp_extract_all(body, '[0-9]+'))) AS n, list_sort(list_distinct(regexp_extract_all(body, '\"[^\"]+\"|“[^”]+”'))) AS q, list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS p FROM art) SELECT a, b, u.title <> v.title AS title_changed, u.n <> v.n AS numbers_changed, u.q <> v.q AS quotes_changed, CAST(len(list_filter(v.p, lambda x: NOT list_contains(u.p, x))) AS BIGINT) AS added, CAST(len(list_filter(u.p, lambda x: NOT list_contains(v.p, x))) AS BIGINT) AS deleted FROM pr JOIN f u ON a = u.doc_id JOIN f v ON b = v.doc_id WHERE u.source = v.source"),
     "paragraph_frequency": (paragraph_frequency, f"WITH {ART_SQL}, p AS (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 20))) AS p FROM art), f AS (SELECT count(*) AS documents FROM p GROUP BY p) SELECT documents, count(*) AS paragraphs FROM f GROUP BY documents"),
 }

@@ -1,9 +1,10 @@
-"""Boosted trees over contests: folds by election with an inner early stop, and contributions of the features."""
+"""Boosted trees and pooled shares over contests: folds by election with an inner early stop, and contributions of the features."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.operators import fits
 from quernstone.operators import trees as t
 from quernstone.plans.durable import durable
 from quernstone.plans.stats_queries import PRED_SQL, predictions
@@ -90,4 +91,18 @@ def _folds_sql() -> str:
     return f"WITH {PRED_SQL}, {', '.join(out)} {' UNION ALL '.join(ends)}"
 
 
-QUERIES = {"boosted_folds": (boosted_folds, _folds_sql()), "boosted_contributions": (boosted_contributions, None)}
+FIXED, POOLED = 5.0, 200.0
+
+
+def pooled_shares(spark, base):
+    """Shares by one column and an effect per party, pooled by its own penalty: every party's effect and how much of it is its own."""
+    p = predictions(spark, base).select("party", "observed", "predicted")
+    weights, effects = fits.pooled_fit(p, ["predicted"], "observed", "party", FIXED, POOLED)
+    return effects.select("party", "n", F.round("effect", 5).alias("effect"), F.round("own_weight", 6).alias("own_weight"), F.round(F.lit(weights["one"]), 5).alias("intercept"), F.round(F.lit(weights["predicted"]), 5).alias("weight"))
+
+
+POOLED_SQL = f"""WITH {PRED_SQL}, g AS (SELECT party, count(*) AS n, sum(predicted) AS sx, sum(observed) AS sy, sum(predicted * predicted) AS xx, sum(predicted * observed) AS xy FROM t GROUP BY 1),
+m AS (SELECT sum(n - n * n / (n + {POOLED})) AS a, sum(sx - n * sx / (n + {POOLED})) AS b, sum(xx - sx * sx / (n + {POOLED})) + {FIXED} AS c, sum(sy - n * sy / (n + {POOLED})) AS u, sum(xy - sx * sy / (n + {POOLED})) AS v FROM g),
+w AS (SELECT (c * u - b * v) / (a * c - b * b) AS w0, (a * v - b * u) / (a * c - b * b) AS w1 FROM m)
+SELECT party, n, round((sy - w0 * n - w1 * sx) / (n + {POOLED}), 5) AS effect, round(n / (n + {POOLED}), 6) AS own_weight, round(w0, 5) AS intercept, round(w1, 5) AS weight FROM g, w"""
+QUERIES = {"pooled_shares": (pooled_shares, POOLED_SQL), "boosted_folds": (boosted_folds, _folds_sql()), "boosted_contributions": (boosted_contributions, None)}

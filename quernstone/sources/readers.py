@@ -33,9 +33,11 @@ def json_folder(spark: SparkSession, path: str, schema: str | StructType) -> Dat
 
 
 def latest_tranche(rows: DataFrame, key: list[str], tranche: str, superseded: list[str], layer: str) -> DataFrame:
-    """Each key's row of the newest tranche; layers named in ``superseded`` are skipped. A maximum per key, so nothing is sorted."""
+    """Each key's row of the newest tranche; layers named in ``superseded`` are skipped. Of several in one tranche the greatest by all its
+    columns is taken (maps, which have no order, aside), whatever the order of rows. A maximum per key, so nothing is sorted."""
     live = rows.where(~F.coalesce(F.col(layer).isin(superseded), F.lit(False))) if superseded else rows
-    newest = live.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in live.columns]), F.col(tranche)).alias("r"))
+    ordered = [F.col(f"`{f.name}`") for f in live.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    newest = live.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in live.columns]), F.struct(F.col(tranche), *ordered)).alias("r"))
     return newest.select("r.*")
 
 

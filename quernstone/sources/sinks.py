@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def digest(df: DataFrame) -> tuple[int, int, int]:
-    """(rows, xor, sum) over row hashes: independent of order and partitions, one aggregation."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    r = df.select(h.alias("h")).agg(F.count("*"), F.coalesce(F.bit_xor("h"), F.lit(0)), F.coalesce(F.sum(F.col("h") % 1_000_003), F.lit(0))).first()
-    return tuple(r)
+def digest(df: DataFrame) -> tuple[int, int, int, str]:
+    """(rows, sum, sum, columns) over two independent 64-bit hashes of every row: independent of order and partitions, one aggregation. Sums are exact, so
+    repeated rows count, and the columns' names and types are part of it: 1 and '1' differ."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    total = lambda *seed: F.coalesce(F.sum(F.xxhash64(*seed, *columns).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    rows, one, two = df.agg(F.count("*"), total(F.lit("a")), total(F.lit("b"))).first()
+    kinds = ",".join(sorted(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema))
+    return rows, int(one), int(two), kinds
 
 
 def freeze_write(df: DataFrame, path: str, force: bool = False) -> bool:
@@ -87,16 +92,14 @@ def run_batch(todo: DataFrame, log: str, key: str, outcome: Column) -> DataFrame
 def manifest(tables: dict[str, DataFrame], rules: dict[str, str]) -> tuple[list[tuple[str, int, str]], str]:
     """([(table, rows, digest)], release id): the id is the hash of the rules and all digests, so equal content and rules have
     one id whatever the order or the partitions of the rows."""
-    import hashlib
-
     parts = [(name, *_named_digest(df)) for name, df in sorted(tables.items())]
     text = "\n".join([*(f"{k}={v}" for k, v in sorted(rules.items())), *(f"{n}:{rows}:{d}" for n, rows, d in parts)])
     return parts, hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
 def _named_digest(df: DataFrame) -> tuple[int, str]:
-    rows, x, s = digest(df)
-    return rows, f"{x & (2**64 - 1):016x}{s & (2**64 - 1):016x}"
+    rows, one, two, kinds = digest(df)
+    return rows, f"{one & (2**64 - 1):016x}{two & (2**64 - 1):016x}{hashlib.sha256(kinds.encode()).hexdigest()[:8]}"
 
 
 def split_write(df: DataFrame, path: str, review: Column) -> tuple[str, str]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import audits, dedup, dictionary
+from quernstone.operators import audits, dedup, dictionary, fits, history
 from quernstone.plans.ranges import running
 
 
@@ -24,6 +25,46 @@ def test_running_sums_over_a_total_order(spark):
     assert running(df.limit(0), [F.col("i")], {"n": F.lit(1)}).count() == 0
 
 
+def test_states_are_carried_across_ranges(spark):
+    """As-of lookups with a key that holds most rows, ties, nulls and keys without states, against a plain loop."""
+    rng = random.Random(2)
+    key = lambda: rng.choice(["hot"] * 8 + ["a", "b", None])
+    facts = [(i, key(), rng.choice([None, *range(40)])) for i in range(300)] + [(999, "lonely", 3)]
+    states = [(key(), rng.randint(0, 60), rng.choice([None, *range(20)])) for _ in range(60)]
+    f, s = spark.createDataFrame(facts, "i long, k string, at long"), spark.createDataFrame(states, "k string, since long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["i"]: r["as_of"] for r in history.as_of(f, s, "k", "at", "since", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for i, k, at in facts:
+        own = [(t, v) for x, t, v in states if x == k and v is not None and at is not None and t < at]
+        assert got[i] == (max(own)[1] if own else None), (i, k, at)
+
+
+def test_pooled_fit_by_dense_penalised_ridge(spark):
+    rng = np.random.default_rng(0)
+    sizes = {"big": 300, "mid": 40, "rare": 7, None: 12}
+    rows = [(g, float(a), float(b), float(1 + 2 * a - b + e + rng.normal())) for (g, n), e in zip(sizes.items(), (0.5, -1.0, 3.0, 0.0), strict=True) for a, b in rng.normal(size=(n, 2))]
+    df = spark.createDataFrame([*rows, ("big", None, 1.0, 1.0), ("big", 1.0, 1.0, None)], "g string, a double, b double, y double")
+    x = np.array([[a, b, *[float(g == k) for k in sizes]] for g, a, b, _ in rows])
+    y = np.array([r[3] for r in rows])
+    for fixed, pooled in ((5.0, 5.0), (0.1, 100.0), (0.0, 10_000.0)):
+        c = x - x.mean(axis=0)
+        want = np.linalg.solve(c.T @ c + np.diag([fixed] * 2 + [pooled] * 4), c.T @ (y - y.mean()))
+        weights, effects = fits.pooled_fit(df, ["a", "b"], "y", "g", fixed, pooled)
+        got = {r["g"]: r for r in effects.collect()}
+        assert [weights["a"], weights["b"]] == pytest.approx(want[:2], abs=1e-9)
+        free = y.mean() - x.mean(axis=0) @ want
+        told = [weights["one"] + weights["a"] * r[1] + weights["b"] * r[2] + got[r[0]]["effect"] for r in rows]
+        assert told == pytest.approx(list(x @ want + free), abs=1e-9)
+        assert {g: r["own_weight"] for g, r in got.items()} == pytest.approx({g: n / (n + pooled) for g, n in sizes.items()})
+    with pytest.raises(ValueError, match="negative"):
+        fits.pooled_fit(df, ["a"], "y", "g", -1.0, 1.0)
+    none, effects = fits.pooled_fit(df.limit(0), ["a"], "y", "g", 1.0, 1.0)
+    assert none == {"one": 0.0, "a": 0.0} and effects.count() == 0
+
+
 def articles(spark, texts):
     return dedup.articles(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
 
