@@ -123,5 +123,5 @@ def taken(docs: DataFrame) -> DataFrame:
     rows = sized(docs)
     rows = placed(rows, targets(rows))
     own = turns(rows).groupBy("row").agg(F.sum("words").alias("taken"), F.min("start").alias("first_start"))
-    out = rows.join(own, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_start")
-    return out.orderBy(F.col("first_start").asc_nulls_last())
+    out = rows.join(own, "row", "left").orderBy(F.col("first_start").asc_nulls_last(), "row")  # rows without a place fill ranges of their own
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_start")
