@@ -126,7 +126,8 @@ def partial_pooling(spark, base):
     cell = durable(p.groupBy("party", "election").agg(F.count("*").alias("n"), F.sum("e").alias("t")))
     party = cell.groupBy("party").agg(F.sum("n").alias("np"), F.sum("t").alias("tp"))
     whole = cell.agg((F.sum("t") / F.sum("n")).alias("mean")).withColumn("k", F.lit(0))
-    x = cell.withColumn("k", F.lit(0)).join(F.broadcast(whole), "k").join(F.broadcast(party), "party")
+    x = cell.withColumn("k", F.lit(0)).join(F.broadcast(whole), "k")
+    x = join_small(x, durable(party), ["party"], "inner")
     at_party = F.col("mean") + F.col("np") / (F.col("np") + 200.0) * (F.col("tp") / F.col("np") - F.col("mean"))
     x = x.withColumn("pe", at_party)
     return x.select("party", "election", "n", F.round("pe", 6).alias("party_effect"), F.round(F.col("pe") + F.col("n") / (F.col("n") + 50.0) * (F.col("t") / F.col("n") - F.col("pe")), 6).alias("cell_effect"))
@@ -222,7 +223,7 @@ def sign_counts(spark, base):
     p = predictions(spark, base).withColumn("e", F.col("observed") - F.col("predicted"))
     cell = p.groupBy("election", "party").agg(F.round(F.avg("e"), 6).alias("m"))
     all_ = p.groupBy("party").agg(F.round(F.avg("e"), 6).alias("whole"))
-    x = cell.join(F.broadcast(all_), "party")
+    x = join_small(cell, durable(all_), ["party"], "inner")
     n = lambda c: F.count(F.when(c, 1))
     return x.groupBy("election").agg(n(F.col("m") > 0).alias("positive"), n(F.col("m") < 0).alias("negative"), n(F.col("m") == 0).alias("zero"), n(F.signum("m") != F.signum("whole")).alias("flips"))
 

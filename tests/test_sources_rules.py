@@ -82,7 +82,7 @@ def test_joins_refuse_what_is_not_one_to_one(spark):
 def test_gates_raise_on_violations(spark):
     df = spark.createDataFrame([(1, 2), (2, 1), (3, 9), (3, 3)], "a int, b int")
     report = audits.union(audits.key_gates(df, "t", "a"), audits.reference_gates(df, "r", "a", "b", df.select(F.col("a").alias("k")), "k"))
-    assert {(r["layer"], r["gate"]): r["violations"] for r in report.collect()} == {("t", "repeated_key"): 1, ("t", "null_key"): 0, ("r", "dangling"): 1, ("r", "self"): 1, ("r", "mutual"): 2}
+    assert {(r["layer"], r["gate"]): r["violations"] for r in report.collect()} == {("t", "repeated_key"): 1, ("t", "null_key"): 0, ("r", "dangling"): 1, ("r", "self"): 1, ("r", "mutual"): 2, ("r", "circular"): 2}
     with pytest.raises(ValueError, match="broken"):
         audits.require_zero(report)
 
