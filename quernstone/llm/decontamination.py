@@ -31,7 +31,7 @@ from quernstone.plans.durable import durable
 
 CHARS_PER_EDIT = 12
 SHARD_CHARS = 4_000_000
-GRAM, FEW = 5, 8
+GRAM, FEW = 5, 64
 
 
 def normal(text: Column) -> Column:
@@ -79,7 +79,9 @@ class Matcher:
         for n, (_, t, k) in enumerate(self.items):
             for at, piece in pieces(t, k):
                 posts.setdefault(piece, []).append((n, at))
-        self.posts = [(len(piece), at, max(len(self.items[n][1]) + 2 * self.items[n][2] for n, _ in at), [n for n, _ in at if not self.items[n][2]]) for piece, at in posts.items()]
+        self.posts = [(len(piece), at) for piece, at in posts.items()]
+        self.reach = [max(len(self.items[n][1]) + 2 * self.items[n][2] for n, _ in at) for _, at in self.posts]
+        self.exact = {number: own for number, (_, at) in enumerate(self.posts) if (own := [n for n, _ in at if not self.items[n][2]])}
         self.machine = ahocorasick.Automaton()
         for number, piece in enumerate(posts):
             self.machine.add_word(piece, number)
@@ -98,16 +100,20 @@ class Matcher:
     def _ranges(self, text: str) -> tuple[dict[int, list[list[int]]], dict[int, int]]:
         """(ranges of ends by piece, a gap within them never longer than the items' reach; the end of each item without an edit where it stands as whole words)."""
         ranges: dict[int, list[list[int]]] = {}
+        last: dict[int, list[int]] = {}
         whole: dict[int, int] = {}
+        reach, exact = self.reach, self.exact
         for end, number in self.machine.iter(text):
-            size, _, reach, exact = self.posts[number]
-            own = ranges.setdefault(number, [])
-            if own and end - own[-1][1] <= reach:
-                own[-1][1] = end
+            own = last.get(number)
+            if own is not None and end - own[1] <= reach[number]:
+                own[1] = end
             else:
-                own.append([end, end])
-            if exact and exact[0] not in whole and (end + 1 == len(text) or text[end + 1] == " ") and (end + 1 == size or text[end - size] == " "):
-                whole.update(dict.fromkeys(exact, end + 1))
+                last[number] = own = [end, end]
+                ranges.setdefault(number, []).append(own)
+            if number in exact and exact[number][0] not in whole:
+                size = self.posts[number][0]
+                if (end + 1 == len(text) or text[end + 1] == " ") and (end + 1 == size or text[end - size] == " "):
+                    whole.update(dict.fromkeys(exact[number], end + 1))
         return ranges, whole
 
     def _likely(self, text: str, among: list[int]) -> list[int]:
