@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions import text as t
+from quernstone.functions.sequences import ratio
 from quernstone.plans.durable import durable
 
 #: Thresholds of blocking and of the near-duplicate classes (SLICE is this engine's own).
@@ -135,15 +135,14 @@ LINKING = ["partial_full_text_match", "high_confidence_near_duplicate", "probabl
 
 def sequence_ratio(pairs: DataFrame, art: DataFrame, first: int = 2000) -> DataFrame:
     """seq_ratio: the matching-blocks ratio of the whole bodies, word by word; head_ratio: that of their first ``first``
-    characters, which is the measure's customary form. In Arrow batches of pairs."""
-    b = art.select("doc_id", F.col("body").alias("t"))
+    characters, which is the measure's customary form. Null bodies are empty, two empty bodies have 1.0. In Arrow batches of pairs."""
+    b = art.select("doc_id", F.coalesce("body", F.lit("")).alias("t"))
     x = pairs.select("a", "b").join(b.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(b.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 4)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             both = list(zip(p["ta"], p["tb"], strict=True))
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "seq_ratio": [ratio(a.split(), b.split()) for a, b in both], "head_ratio": [ratio(a[:first], b[:first]) for a, b in both]})
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "seq_ratio": [round(ratio(a.split(), b.split()), 4) for a, b in both], "head_ratio": [round(ratio(a[:first], b[:first]), 4) for a, b in both]})
 
     return x.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, seq_ratio double, head_ratio double")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.plans.ranges import carried
+from quernstone.plans.durable import durable
+from quernstone.plans.ranges import carried, running
 
 DAYS_PER_YEAR = 365.25
 
@@ -38,22 +39,40 @@ def as_of(facts: DataFrame, states: DataFrame, key: str, at: str, since: str, va
     return seen.where("__k = 0").drop("__t", "__k", "__v")
 
 
-def pool_backwards(summaries: DataFrame, key: str, day: str, n: str, total: str, minimum: int, years: float, skip: int = 0) -> DataFrame:
-    """(key, day, pooled, pooled_n, sources): the weighted mean over the latest earlier days, taken until
+def pool_backwards(summaries: DataFrame, key: str, day: str, n: str, total: str, minimum: int, years: float, digits: int = 2) -> DataFrame:
+    """(key, day, pooled, pooled_n, sources, oldest): the weighted mean over the latest earlier days, taken until
     ``minimum`` entries are reached, none older than ``years``; null if it is never reached.
 
-    Each key's days meet only their own earlier days; an ordered running sum stops the pool.
+    One row per key and day is expected. Days without entries (``n`` null or not positive) are no sources, but get a result. A null key or
+    day gets nulls. ``total`` is summed in whole units of ``digits`` decimals, so no order of summation shows.
+
+    No day meets its earlier days: entries are summed up over the order of (key, day), dealt by ranges. A pool begins at the last row whose
+    sum lies ``minimum`` below the own one, or at the first row within ``years`` if that is later; both are looked up as states before a moment, and
+    differences of the sums at both ends are the pool. A key with a third of all rows is spread over ranges.
     """
-    a = summaries.select(key, day)
-    b = summaries.select(F.col(key).alias("__key"), F.col(day).alias("__day"), F.col(n).alias("__n"), F.col(total).alias("__total"))
-    near = (F.col(key) == F.col("__key")) & (F.col("__day") < F.col(day)) & (F.datediff(F.col(day), F.col("__day")) <= years * DAYS_PER_YEAR)
-    w = Window.partitionBy(key, day).orderBy(F.desc("__day"))
-    before = a.join(b, near).withColumn("__sum", F.sum("__n").over(w))
-    used = before.where(F.col("__sum") - F.col("__n") < minimum)
-    pool = used.groupBy(key, day).agg(F.sum("__n").alias("pooled_n"), F.sum("__total").alias("__t"), F.count("*").alias("sources"), F.min("__day").alias("oldest"))
-    reached = F.col("pooled_n") >= minimum
-    out = pool.select(key, day, F.when(reached, F.round(F.col("__t") / F.col("pooled_n"), 4)).alias("pooled"), "pooled_n", "sources", "oldest")
-    return a.join(out, [key, day], "left")
+    if minimum < 1:
+        raise ValueError("the minimum is at least one entry")
+    counts = F.col(n) > 0
+    rows = summaries.select(
+        key, day, F.when(counts, F.col(n)).otherwise(0).cast("long").alias("__n"),
+        F.when(counts, F.round(F.coalesce(F.col(total), F.lit(0)) * 10**digits)).otherwise(0).cast("long").alias("__total"),
+    ).withColumn("__source", (F.col("__n") > 0).cast("long"))
+    sums = durable(running(rows, [F.col(key), F.col(day)], {"__entries": F.col("__n"), "__sum": F.col("__total"), "__place": F.col("__source")}))
+    sources = sums.where((F.col("__source") == 1) & F.col(key).isNotNull() & F.col(day).isNotNull())
+    enough = sources.select(key, F.col("__entries").alias("__since"), F.col("__place").alias("__start"))
+    # the state after a day is the place behind it; before all days of a key stands its first place
+    first = sources.groupBy(key).agg(F.lit(None).cast("date").alias("__since"), F.min("__place").alias("__start"))
+    inside = sources.select(key, F.to_date(day).alias("__since"), (F.col("__place") + 1).alias("__start")).union(first)
+    at = sums.withColumn("__reach", F.col("__entries") - minimum + 1).withColumn("__from", F.date_sub(day, int(years * DAYS_PER_YEAR)))
+    at = as_of(at, enough, key, "__reach", "__since", "__start").withColumnRenamed("as_of", "__enough")
+    at = as_of(at, inside, key, "__from", "__since", "__start").withColumn("__start", F.greatest("__enough", "as_of"))
+    start = sources.select(F.col("__place").alias("__start"), F.col("__entries").alias("__entries0"), F.col("__sum").alias("__sum0"), F.col(day).alias("oldest"))
+    some = (F.col("__start") < F.col("__place")) & F.col(day).isNotNull()
+    out = at.withColumn("__start", F.when(some, F.col("__start"))).join(start, "__start", "left")
+    pooled_n, pooled = F.col("__entries") - F.col("__entries0"), (F.col("__sum") - F.col("__sum0")) / 10**digits
+    return out.select(
+        key, day, F.when(pooled_n >= minimum, F.round(pooled / pooled_n, 4)).alias("pooled"), pooled_n.alias("pooled_n"), (F.col("__place") - F.col("__start")).alias("sources"), "oldest",
+    )
 
 
 def fold_of(day: Column, train_until: str, test_from: str, test_until: str) -> Column:
