@@ -57,3 +57,24 @@ def test_pairs_of_long_postings_come_once_with_their_blocks(spark):
     for slice_rows in (2000, 11):
         got = dedup.blocked_pairs(f, slice_rows=slice_rows).collect()
         assert sorted((r["a"], r["b"], r["shared"]) for r in got) == want and all(r["block_a"] is not None and r["block_b"] is not None for r in got)
+
+
+def test_pairs_travel_packed(spark):
+    """30,000 pairs of three tiles: one row per tile, some bytes a pair, and all of them come back in order."""
+    n = 30_000
+    x = pa.table({"i_": pa.array([k % 3 for k in range(n)], pa.int32()), "j_": pa.array([2] * n, pa.int32()), "a": pa.array([k // 100 for k in range(n)]), "b": pa.array([n + k for k in range(n)]), "shared": pa.array([6 + k % 5 for k in range(n)])})
+    found = [r for batch in tiles._packed(["a", "b", "shared"])(iter(x.to_batches(max_chunksize=7_000))) for r in batch.to_pylist()]
+    assert [(r["i_"], r["j_"]) for r in found] == [(0, 2), (1, 2), (2, 2)] and sum(len(r["pairs_"]) for r in found) < 8 * n
+    back = [pa.ipc.read_record_batch(pa.decompress(r["pairs_"][8:], int.from_bytes(r["pairs_"][:8], "little"), "zstd"), x.select(["a", "b", "shared"]).schema) for r in found]
+    assert sorted((r["a"], r["b"], r["shared"]) for batch in back for r in batch.to_pylist()) == sorted(zip(*(x.column(c).to_pylist() for c in ("a", "b", "shared")), strict=True))
+
+
+def test_sets_are_made_for_paired_articles_only(spark):
+    """Features hold no whole sets; the sets of the articles that have pairs are made again where they meet, and give the same scores."""
+    one = " ".join(f"w{i}" for i in range(120))
+    texts = [one, one + " and more", one.replace("w60", "x"), " ".join(f"z{i}" for i in range(200)), None]
+    art = dedup.articles(spark.createDataFrame([(i, x and f"t\n{x}", "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    f = dedup.features(art, whole=False)
+    assert "s" not in f.columns and {r["doc_id"]: r["n"] for r in f.collect()} == {0: 116, 1: 118, 2: 116, 3: 196, 4: 0}
+    got = {(r["a"], r["b"]): (r["jaccard"], r["words_b"]) for r in dedup.pair_scores(dedup.blocked_pairs(f), art).collect()}
+    assert got == {(0, 1): (round(116 / 118, 4), 122), (0, 2): (round(111 / 121, 4), 120), (1, 2): (round(111 / 123, 4), 120)}
