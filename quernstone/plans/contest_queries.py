@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.operators import contest as c
+from quernstone.plans.durable import dealt
 from quernstone.sources.tables import table
 
 VOTES_SQL = """votes AS (SELECT l_orderkey AS contest, l_suppkey % 7 AS party, CAST(sum(l_quantity) AS DOUBLE) AS votes,
@@ -15,8 +16,10 @@ SEATS_SQL = "CASE WHEN contest % 11 = 0 THEN NULL ELSE 1 + contest % 3 END"
 
 
 def votes(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("contest"), (F.col("l_suppkey") % 7).alias("party")).agg(
+    lines = table(spark, base, "lineitem")
+    # one deal by contest serves the sums and every window over a contest
+    rows = dealt(lines.select(F.col("l_orderkey").alias("contest"), (F.col("l_suppkey") % 7).alias("party"), "l_quantity", "l_linenumber"), lines.count(), "contest")
+    return rows.groupBy("contest", "party").agg(
         F.sum("l_quantity").alias("votes"), F.sum(F.col("l_quantity") * (1 + F.col("l_linenumber") % 3)).alias("strength"), F.count("*").alias("lines")
     )
 
