@@ -9,7 +9,7 @@ from quernstone.operators import audits as a
 from quernstone.operators import dictionary
 from quernstone.operators import rules as r
 from quernstone.plans.contest_queries import ALLOCATED_SQL, VOTES_SQL, allocated, votes
-from quernstone.plans.durable import durable, join_small
+from quernstone.plans.durable import dealt, durable, join_small
 from quernstone.plans.rule_queries import BOUNDARY, FACT_SQL, facts
 from quernstone.plans.stats_queries import PRED_SQL, predictions
 from quernstone.sources.tables import table
@@ -50,9 +50,13 @@ def reference_integrity(spark, base):
 
 def reference_rings(spark, base):
     """Every supplier refers to the one that shares most orders with it: which of these references lead back to where they start."""
-    li = table(spark, base, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    both = li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").where("l_suppkey <> other").groupBy("l_suppkey", "other").agg(F.count("*").alias("n"))
-    top = both.groupBy("l_suppkey").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("partner"))
+    li = table(spark, base, "lineitem").select("l_orderkey", "l_suppkey")
+    rows = li.count()
+    li = dealt(li, rows, "l_orderkey").distinct()
+    both = li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").where("l_suppkey <> other")
+    # an order has some lines, so there are several pairs for each line
+    both = dealt(both, 4 * rows, "l_suppkey", "other").groupBy("l_suppkey", "other").agg(F.count("*").alias("n"))
+    top = dealt(both, 4 * rows, "l_suppkey").groupBy("l_suppkey").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("partner"))
     return a.circular(top, "l_suppkey", "partner").withColumnRenamed("to", "partner")
 
 
