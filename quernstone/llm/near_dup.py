@@ -206,7 +206,7 @@ def candidates(leaders: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning links (a, b) of documents of one cluster (node, component, n_shingles) whose sets are similar enough."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
-    members = durable(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "n", "hashes"))
+    members = durable(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "n", "hashes"), narrow=True)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +226,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     sketched = durable(sketches(docs, words))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    leaders = durable(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n_shingles")))
+    leaders = durable(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n_shingles")), narrow=True)
     found = connected_components(candidates(leaders.select("doc", "sign")).where("a <> b"))
-    clusters = durable(found.join(leaders.select(F.col("doc").alias("node"), "n_shingles"), "node"))
-    links = durable(confirmed(docs, clusters, words, percent).where("a <> b"))
+    clusters = durable(found.join(leaders.select(F.col("doc").alias("node"), "n_shingles"), "node"), narrow=True)
+    links = durable(confirmed(docs, clusters, words, percent).where("a <> b"), narrow=True)
     own = named.select("doc_id", "f1", "f2").join(leaders.select("f1", "f2", "doc"), ["f1", "f2"]).where(F.col("doc") != F.col("doc_id"))
     edges = links.union(own.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
     found = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
@@ -250,7 +250,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     id_ = F.col("doc_id").cast("long")
     out = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
     left = docs.join(out, id_ == F.col(gone), "left_anti")
-    often = durable(docs.where(F.col("doc_id").isNotNull()).groupBy(id_.alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own))
+    often = durable(docs.where(F.col("doc_id").isNotNull()).groupBy(id_.alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own), narrow=True)
     if often.isEmpty():
         return left
     columns = [F.col(f"`{c}`") for c in docs.columns]

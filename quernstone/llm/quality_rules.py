@@ -130,13 +130,13 @@ def fences(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 def thresholds(measured: DataFrame, column: str, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang_key, source_key, limits): one row per (lang, source), limits a struct by ratio."""
-    counted = durable(sketches(measured, column, lang, source))
+    counted = durable(sketches(measured, column, lang, source), narrow=True)
     table = fences(counted, []).select("ratio", F.col("fence").alias("table_fence"))
     langs = fences(counted, ["lang_key"]).select("lang_key", "ratio", F.col("docs").alias("lang_docs"), F.col("fence").alias("lang_fence"))
-    wide = join_small(durable(langs), durable(table), ["ratio"])
+    wide = join_small(durable(langs, narrow=True), durable(table, narrow=True), ["ratio"])
     drawn = lambda own, n, wider: (F.col(n) * F.col(own) + SHRINK * wider) / (F.col(n) + SHRINK)
     lang_limit = drawn("lang_fence", "lang_docs", F.col("table_fence"))
-    wide = durable(wide.select("lang_key", "ratio", lang_limit.alias("lang_limit")))
+    wide = durable(wide.select("lang_key", "ratio", lang_limit.alias("lang_limit")), narrow=True)
     own = join_small(fences(counted, ["lang_key", "source_key"]), wide, ["lang_key", "ratio"])
     limit = own.select("lang_key", "source_key", "ratio", drawn("fence", "docs", F.col("lang_limit")).alias("limit"))
     by_ratio = [F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(r) for r in RATIOS]
@@ -162,7 +162,7 @@ def judged(docs: DataFrame) -> tuple[DataFrame, str, Column]:
     column = rows.columns[-1]
     rows = durable(rows)
     lang, source, limits = fresh(rows, "lang_key", "source_key", "limits")
-    found = durable(thresholds(rows, column)).toDF(lang, source, limits)
+    found = durable(thresholds(rows, column), narrow=True).toDF(lang, source, limits)
     return join_small(rows.withColumn(lang, group_key("lang")).withColumn(source, group_key("source")), found, [lang, source]), column, passes(column, limits)
 
 
@@ -170,7 +170,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base counts, ratios, base_failed, kept."""
     slim = docs.select("doc_id", "lang", "source", metrics(F.col("text")).alias("metrics"))
     rows = durable(slim)
-    found = durable(thresholds(rows, "metrics"))
+    found = durable(thresholds(rows, "metrics"), narrow=True)
     joined = join_small(rows.withColumn("lang_key", group_key("lang")).withColumn("source_key", group_key("source")), found, ["lang_key", "source_key"])
     return joined.select("doc_id", "metrics.*", passes("metrics", "limits").alias("kept"))
 

@@ -140,12 +140,12 @@ def letter_runs(value: Column) -> Column:
 def coverage(values: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(value, dictionary): the share of each distinct value's characters that lies in words of the corpus."""
     least, most = WORD_LETTERS
-    parts = durable(values.select("value").distinct().select("value", F.explode(letter_runs(F.col("value"))).alias("p")).select("value", "p.*"))
+    parts = durable(values.select("value").distinct().select("value", F.explode(letter_runs(F.col("value"))).alias("p")).select("value", "p.*"), narrow=True)
     asked = parts.select("word").distinct()
     low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{{least},{most}}}(?![\p{{L}}\p{{N}}_])"), F.lit(0)))
     dictionary = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    known = durable(dictionary.join(asked, "word", "left_semi").select("word"))
+    known = durable(dictionary.join(asked, "word", "left_semi").select("word"), narrow=True)
     spans = join_small(parts, known, ["word"], "inner").groupBy("value").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, x: F.struct(
@@ -168,7 +168,7 @@ def with_features(found: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -
         "dictionary": F.coalesce("dictionary", F.lit(0.0)),
         **{c: F.col(c).cast("double") for c in ("path_marks", "plain_before", "plain_after")},
     }
-    return join_small(found, durable(coverage(found, docs, min_docs)), ["value"]).withColumns(columns)
+    return join_small(found, durable(coverage(found, docs, min_docs), narrow=True), ["value"]).withColumns(columns)
 
 
 def card_number(value: Column) -> Column:
@@ -199,7 +199,7 @@ def labelled_findings(found: DataFrame, labelled: DataFrame | None = None) -> Da
 
 def features(docs: DataFrame) -> DataFrame:
     """Every candidate with its FEATURES, written once."""
-    return durable(with_features(durable(candidates(docs)), docs))
+    return durable(with_features(durable(candidates(docs), narrow=True), docs), narrow=True)
 
 
 def judge(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     secrets, own, key = fresh(docs, "secrets", "own_id", "text_key")
     found = judged(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key)).agg(F.collect_set("value").alias(secrets))
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    bad = durable(found)
+    bad = durable(found, narrow=True)
     hit = docs.where(maybe).join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.sha2("text", 256) == F.col(key)), "left")
     longest = F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
     clean = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["s"], F.lit(MASK))))
