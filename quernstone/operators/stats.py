@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,6 +127,8 @@ def ridge(df: DataFrame, columns: list[str], y: str, penalty: float) -> dict[str
 #: The cumulative Poisson(1) probabilities that ``draws`` cuts at.
 POISSON_CUTS = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
 PRIME = 2_147_483_647
+#: ``drawn_sums``: contests and replicates that are drawn at once, groups whose sums a task holds.
+BLOCK, ACROSS, MANY = 4096, 8, 1000
 
 
 def _fifth(df: DataFrame, x: str, out: str) -> DataFrame:
@@ -151,6 +156,67 @@ def draws(contests: DataFrame, key: str, replicates: int) -> DataFrame:
     return drawn.withColumn("times", times.cast("long")).drop("own_", "t_")
 
 
+def _residues(x: np.ndarray) -> np.ndarray:
+    """Products of residues, below 2^62, modulo PRIME = 2^31 - 1: the upper 31 bits count as much as the lower ones."""
+    x = (x & PRIME) + (x >> 31)
+    return x - PRIME * (x >= PRIME)
+
+
+def _fifths(x: np.ndarray) -> np.ndarray:
+    square = _residues(x * x)
+    return _residues(_residues(square * square) * x)
+
+
+def drawn_sums(contests: DataFrame, key: str, replicates: int, groups: list[str], values: list[str]) -> DataFrame:
+    """(groups, replicate, values): the sums of times * value over the ``draws`` of each group that has any in a replicate, with ``drawn`` contests there.
+
+    A draw is a number for a contest and a replicate, so a task draws a block of contests for all replicates at once and keeps one running sum for each group
+    and replicate; no draw becomes a row. A task's sums leave it whenever it has met MANY groups, so neither the contests nor the groups are bounded. Null values count as 0, null keys draw nothing.
+    """
+    seeds = np.array([pow((r + 1) * 69621 % PRIME, 5, PRIME) * 39373 % PRIME for r in range(replicates)], np.int64)
+    cuts = [int(c * PRIME) for c in POISSON_CUTS]
+    kinds = [contests.schema[g].dataType.simpleString() for g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for own, sums in held.items():
+                at = np.flatnonzero(sums[0])
+                ids = [pa.array([x] * len(at), t) for x, t in zip(own, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(at), pa.array(sums[0, at].astype(np.int64)), *[pa.array(x[at]) for x in sums[1:]]], names=[*groups, "replicate", "drawn", *values])
+            held.clear()
+
+        for b in batches:
+            types = [b.column(k).type for k in range(len(groups))]
+            keyed = pa.Table.from_batches([b]).select(groups + ["one_"]).append_column("at_", pa.array(np.arange(b.num_rows)))
+            for group in keyed.group_by([*groups, "one_"]).aggregate([("at_", "list")]).to_pylist():
+                rows = np.array(group["at__list"])
+                own = b.column("key_").to_numpy()[rows]
+                seen = _fifths((own * 48271 + 11) % PRIME) * 16807 % PRIME
+                value = np.stack([np.ones(len(rows)), *[b.column(f"v{k}_").to_numpy()[rows] for k in range(len(values))]])
+                sums = held.setdefault(tuple(group[g] for g in groups), np.zeros((1 + len(values), replicates)))
+                for lo in range(0, len(rows), BLOCK):
+                    own, part = seen[lo : lo + BLOCK], value[:, lo : lo + BLOCK]
+                    for r in range(0, replicates, ACROSS):
+                        t = own + seeds[r : r + ACROSS, None]
+                        t = _fifths(t - PRIME * (t >= PRIME)).astype(np.int32)
+                        times = np.zeros(t.shape, np.int8)
+                        for c in cuts:
+                            times += t >= c
+                        sums[0, r : r + ACROSS] += np.count_nonzero(times, axis=1)
+                        sums[1:, r : r + ACROSS] += part[1:] @ times.T.astype(np.float64)
+                if len(held) >= MANY:
+                    yield from told()
+        yield from told()
+
+    number = [F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"v{k}_") for k, v in enumerate(values)]
+    slim = contests.where(F.col(key).isNotNull()).select(*groups, F.lit(0).alias("one_"), F.pmod(F.col(key).cast("long"), F.lit(PRIME).cast("long")).alias("key_"), *number)
+    slim = slim.repartition(contests.sparkSession.sparkContext.defaultParallelism, "key_")
+    schema = ", ".join([*[f"`{g}` {k}" for g, k in zip(groups, kinds, strict=True)], "replicate long, drawn long", *[f"`{v}` double" for v in values]])
+    return slim.mapInArrow(run, schema).groupBy(*groups, "replicate").agg(F.sum("drawn").alias("drawn"), *[F.sum(v).alias(v) for v in values])
+
+
 def draws_sql(source: str, key: str, replicates: int, columns: str) -> str:
     """The CTEs of ``draws`` over ``source``; the last is dr."""
     fifth = lambda x: f"(({x}) * ({x}) % {PRIME}) * (({x}) * ({x}) % {PRIME}) % {PRIME} * ({x}) % {PRIME}"

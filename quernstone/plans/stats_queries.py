@@ -197,8 +197,7 @@ bs AS (SELECT replicate, sum(times * b) / sum(times * n) - sum(times * a) / sum(
 def bootstrap_gains(spark, base):
     p = predictions(spark, base)
     k = p.groupBy("contest").agg(F.sum(F.abs(F.col("predicted") - F.col("observed"))).alias("a"), F.sum(F.abs(100 / F.col("size") - F.col("observed"))).alias("b"), F.count("*").alias("n"))
-    m = lambda x: F.sum(F.col("times") * F.col(x)) / F.sum(F.col("times") * F.col("n"))
-    return s.draws(k, "contest", REPLICATES).groupBy("replicate").agg((m("b") - m("a")).alias("gain"))
+    return s.drawn_sums(k, "contest", REPLICATES, [], ["a", "b", "n"]).select("replicate", (F.col("b") / F.col("n") - F.col("a") / F.col("n")).alias("gain"))
 
 
 def contest_bootstrap_ci(spark, base):
@@ -211,7 +210,7 @@ def paired_bootstrap(spark, base):
     """Share of replicates in which the prediction beats the equal split, per election."""
     p = predictions(spark, base)
     k = p.groupBy("election", "contest").agg(F.sum(F.abs(100 / F.col("size") - F.col("observed")) - F.abs(F.col("predicted") - F.col("observed"))).alias("d"))
-    x = s.draws(k, "contest", REPLICATES).groupBy("election", "replicate").agg(F.round(F.sum(F.col("times") * F.col("d")), 6).alias("d"))
+    x = s.drawn_sums(k, "contest", REPLICATES, ["election"], ["d"]).withColumn("d", F.round("d", 6))
     return x.groupBy("election").agg(F.count(F.when(F.col("d") > 0, 1)).alias("wins"), F.count("*").alias("replicates"))
 
 

@@ -153,3 +153,17 @@ def test_points_keep_repeats_and_nulls(spark):
     pts = spark.createDataFrame([(0.5, 0.5), (0.5, 0.5), (1.5, 0.5), (9.0, 9.0), (None, 0.5)], "x double, y double")
     got = sorted((str(r["x"]), r["area"], r["n_areas"]) for r in points_in_polygons(pts, "x", "y", spark.createDataFrame(edges, "area string, x1 double, y1 double, x2 double, y2 double"), 0.5).collect())
     assert got == [("0.5", "one", 1), ("0.5", "one", 1), ("1.5", None, 2), ("9.0", None, 0), ("None", None, 0)]
+
+
+def test_drawn_sums_are_the_sums_of_draws_and_no_draw_is_a_row(spark):
+    """Groups, a null one among them, values of any sign and null, keys beyond the prime, blocks that do not divide the contests."""
+    x = spark.range(9000).selectExpr("if(id % 5 = 4, 3000000000 + id, id) as id", "if(id % 3 = 2, null, id % 3) as g", "if(id % 11 = 0, null, (id % 17) - 8.5D) as v", "id % 4 as n").repartition(3)
+    keyed = stats.draws(x.withColumn("key", F.col("id") % stats.PRIME), "key", 37)
+    for groups in (["g"], []):
+        want = keyed.groupBy(*groups, "replicate").agg(F.count("*").alias("drawn"), F.sum(F.col("times") * F.col("v")).alias("v"), F.sum(F.col("times") * F.col("n")).cast("double").alias("n"))
+        df = stats.drawn_sums(x, "id", 37, groups, ["v", "n"])
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+        assert "Generate" not in df._jdf.queryExecution().toString()
+    few = spark.createDataFrame([(5, "a", 1.0)], "id long, g string, v double")
+    assert sorted(stats.drawn_sums(few, "id", 50, ["g"], ["v"]).select("replicate", "drawn").collect()) == sorted(stats.draws(few, "id", 50).groupBy("replicate").agg(F.count("*").alias("drawn")).collect())
+    assert stats.drawn_sums(few.limit(0), "id", 50, ["g"], ["v"]).count() == 0
