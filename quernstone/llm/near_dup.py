@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.shingles import mix, shingle_sets
 from quernstone.llm.text import fresh
 from quernstone.operators.components import connected_components
-from quernstone.plans.durable import durable
+from quernstone.plans.durable import durable, likely
 
 COORDINATES = 64
 MATCHES = 35
@@ -207,7 +207,8 @@ def confirmed(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
     """Spanning links (a, b) of documents of one cluster (node, component, n_shingles) whose sets are similar enough."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
     members = durable(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "n", "hashes"), narrow=True)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id")
+    # few documents have a partner: the other texts stay where they are
+    rows = likely(docs.select(F.col("doc_id").cast("long"), "text"), members, "doc_id").join(members.hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
